@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from baitline.functions.emit import emit_once
 from baitline.functions.fixed_values import TWO_LEVEL_SUFFIXES
 
 PART_COLUMNS = [
@@ -118,8 +119,8 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
         "query": F.col("_query"),
         "fragment": F.col("_fragment"),
     }
-    kept = [F.col(c) for c in df.columns if c not in out]
-    return steps.select(*kept, *[F.when(F.col("_good"), e).alias(n) for n, e in out.items()])
+    kept = [c for c in df.columns if c not in out]
+    return emit_once(steps, kept, {n: F.when(F.col("_good"), e) for n, e in out.items()})
 
 
 def has_parts(df: DataFrame) -> bool:
@@ -156,7 +157,7 @@ def host_suffixes(host: Column) -> Column:
     labels = F.split(host, r"\.")
     return F.transform(
         F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.substring_index(host, ".", -i),
+        lambda i: F.call_function("substring_index", host, F.lit("."), -i),
     )
 
 

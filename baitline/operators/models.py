@@ -23,6 +23,7 @@ from baitline.functions import urls as ur
 from baitline.functions.fixed_values import FEATURE_NAMES
 from baitline.operators import metrics
 from baitline.operators.dedup import union_for_refit
+from baitline.session import cut_lineage
 
 # Hyper-parameters of the published models, and the ablation sets.
 ITERATIONS = 2000
@@ -209,14 +210,12 @@ def feature_importances(model: PipelineModel, features: list[str] | None = None)
 
 def ngrams(host: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
     """All character n-grams of a host, in order, shorter ones first."""
-    parts = [
-        F.when(
-            F.length(host) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(host) - (n - 1)), lambda i, n=n: F.substr(host, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(*parts)
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(host) - (n - 1))
+        pieces = F.transform(starts, lambda i: F.substr(host, i, F.lit(n)))
+        return F.when(F.length(host) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of_size(n) for n in sizes])
 
 
 def host_grams(df: DataFrame, host: str = "host", sizes: tuple[int, ...] = NGRAM_SIZES, keys: list[str] | None = None) -> DataFrame:
@@ -340,7 +339,8 @@ def train_hostname_model(
         table = spark.createDataFrame(
             [(i, float(v)) for i, v in enumerate(coefficients)], "index int, coefficient double"
         )
-        weights = numbered.join(table, "index").select("gram", "idf", "coefficient")
+        weights = cut_lineage(numbered.join(table, "index").select("gram", "idf", "coefficient"))
+        numbered.unpersist()
         return HostnameModel(weights, float(fitted.intercept), sizes)
     finally:
         folded.unpersist()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baitline.functions import urls as ur
+from baitline.functions.emit import emit_once
 from baitline.functions.fixed_values import TRUSTED_DOMAINS
 from baitline.functions.text import clip
 
@@ -213,16 +214,16 @@ def fuse_risk(df: DataFrame, policy: Policy = CURRENT, signal_contract: str = "a
         .otherwise(risk),
     )
     out = step(out, clip(risk, 0.0, 100.0))
-    out = out.withColumns({
+    level = F.when(risk >= policy.phishing_from, "PHISHING").when(risk >= policy.suspicious_from, "SUSPICIOUS")
+    made = {
+        "model_score": model,
         f"{prefix}_raw": risk,
         f"{prefix}_score": F.round(risk, 2),
-        f"{prefix}_level": F.when(risk >= policy.phishing_from, "PHISHING")
-        .when(risk >= policy.suspicious_from, "SUSPICIOUS")
-        .otherwise("SAFE"),
+        f"{prefix}_level": level.otherwise("SAFE"),
         "trusted_domain": F.col("_trusted"),
         "trusted_protection": F.col("_protected"),
-    })
-    return out.drop("_e", "_risk", "_trusted", "_protected")
+    }
+    return emit_once(out, [c for c in df.columns if c not in made], made)
 
 
 def confidence(df: DataFrame, prefix: str = "risk") -> DataFrame:

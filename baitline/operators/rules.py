@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions import text as tx
 from baitline.functions import urls as ur
+from baitline.functions.emit import emit_once
 from baitline.functions.fixed_values import (
     AUTH_PATH_PARTS,
     BRAND_DOMAINS,
@@ -132,7 +133,7 @@ def rule_signals(df: DataFrame, url_col: str = "url", brands: dict[str, list[str
     }
     signals = F.struct(*[e.alias(n) for n, e in named.items()])
     keep = [c for c in base.columns if not c.startswith("_")]
-    return base.select(*keep, F.when(u.isNotNull(), signals).alias("signals"))
+    return emit_once(base, keep, {"signals": F.when(u.isNotNull(), signals)})
 
 
 def _condition(text: str, signals: str) -> Column:
@@ -164,4 +165,9 @@ def rule_score(df: DataFrame, url_col: str = "url", signals: str = "signals") ->
     for bound, name in RULE_LEVELS[1:]:
         level = level.when(F.col("rule_score") >= bound, name)
     level = level.when(F.col("rule_score").isNotNull(), LOWEST_RULE_LEVEL)
-    return base.withColumn("rule_level", level).drop("_hits")
+    keep = [c for c in df.columns if c not in ("rule_score", "rule_reasons", "rule_level", "signals")]
+    keep += [c for c in ur.PART_COLUMNS if c not in keep and c in base.columns]
+    return emit_once(
+        base.withColumn("_level", level), [*keep, signals],
+        {"rule_score": F.col("rule_score"), "rule_level": F.col("_level"), "rule_reasons": F.col("rule_reasons")},
+    )
