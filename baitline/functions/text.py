@@ -69,4 +69,5 @@ def any_of(words: list[str]) -> str:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Value held between two bounds; null stays null (``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))

@@ -557,7 +557,7 @@ S["mixed_domain_ratio"] = with_(PAGE_HOSTS, PER_HOST) + (
 )
 S["feature_profile"] = with_(PROBE_NORM, FEATURES_CTE) + " UNION ALL ".join(
     f"SELECT '{n}' AS feature, round(min({n})::DOUBLE, 6) AS min, round(avg({n}), 6) AS mean, round(median({n})::DOUBLE, 6) AS median, round(max({n})::DOUBLE, 6) AS max, "
-    + (f"count(DISTINCT {n}) AS n_distinct" if n not in ("url_entropy", "hostname_entropy", "path_entropy") else f"count(DISTINCT round({n}, 9)) AS n_distinct")
+    + (f"count(DISTINCT {n}) AS n_distinct" if not n.endswith("_entropy") else f"count(DISTINCT round({n}, 9)) AS n_distinct")
     + f", CAST(0 AS BIGINT) AS n_missing, count(DISTINCT {n}) <= 1 AS constant FROM feats" for n in fv.FEATURE_NAMES)
 S["duplicate_audit"] = with_(PAGE_HOSTS, "doubled AS (SELECT * FROM page_hosts UNION ALL SELECT * FROM page_hosts WHERE page_id % 3 = 0)") + (
     "SELECT count(*) AS n_rows, count(*) - count(DISTINCT url) AS repeated_urls, count(*) - count(DISTINCT domain) AS repeated_domains FROM doubled"
