@@ -1,8 +1,8 @@
-"""Character-level column expressions, all evaluated in the JVM."""
+"""Character-level column expressions, evaluated in the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,6 @@ def occurrences(text: Column, literal: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
 
 
-def kept_length(text: Column, drop_pattern: str) -> Column:
-    """Length of ``text`` once everything matching ``drop_pattern`` is removed."""
-    return F.length(F.regexp_replace(text, drop_pattern, ""))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0.0 when ``whole`` is 0."""
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
@@ -26,36 +21,6 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy in bits per character; 0.0 for the empty string."""
-    size = F.length(text).cast("double")
-
-    def share(character: Column) -> Column:
-        return (F.length(text) - F.length(F.replace(text, character, F.lit("")))) / size
-
-    bits = F.aggregate(
-        F.transform(F.array_distinct(F.split(text, "")), share),
-        F.lit(0.0),
-        lambda total, p: total - p * F.log2(p),
-    )
-    return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
-
-
-def with_entropy(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Append entropies in a projection of their own.
-
-    Higher-order functions keep the projection they sit in out of whole-stage codegen;
-    read the results through :func:`twice` so the optimizer leaves this one separate
-    and the wide projections around it stay generated.
-    """
-    return df.withColumns({name: entropy(source) for name, source in columns.items()})
-
-
-def twice(name: str) -> Column:
-    """Read a costly column with two references, which stops its inlining."""
-    return F.when(F.col(name).isNotNull(), F.col(name))
-
-
 def non_empty_parts(text: Column, separator: str) -> Column:
     """Number of non-empty pieces between separators (single-character separator)."""
     squeezed = F.regexp_replace(text, f"{separator}+", separator)

@@ -18,7 +18,10 @@ PART_COLUMNS = [
 ]
 
 # Whitespace trimmed from both ends, and a strict dotted-quad address.
-EDGE_SPACE = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+EDGE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_STRICT = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 # Octets with leading zeros still count as an address in the features.
@@ -28,7 +31,7 @@ IPV6 = r"^(?=.*:.*:)[0-9a-f:.]+(?:%.+)?$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(EDGE_SPACE))
 
 
 def _rest(text: Column, taken: Column) -> Column:
@@ -43,8 +46,8 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     query and fragment stay as they are. An input that cannot be normalised (null,
     empty, bad port, unbalanced brackets) gets null in every part.
     """
-    raw = F.translate(strip(F.col(url_col)), "\t\r\n", "")
-    steps = df.withColumn(
+    raw = F.col("_raw")
+    steps = df.withColumn("_raw", F.translate(strip(F.col(url_col)), "\t\r\n", "")).withColumn(
         "_s", F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     )
     steps = steps.withColumn("_scheme", F.regexp_extract("_s", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
@@ -86,12 +89,12 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
         "_host": F.rtrim(F.lower("_raw_host"), F.lit(".")),
         "_port": F.when(F.col("_port_text").rlike("^[0-9]{1,9}$"), F.col("_port_text").cast("int")),
     })
-    balanced = (~F.col("_authority").rlike(r"[\[\]]")) | F.col("_endpoint").rlike(
+    balanced = ~(F.col("_authority").contains("[") | F.col("_authority").contains("]")) | F.col("_endpoint").rlike(
         r"^\[[0-9A-Fa-f:.]+(?:%[^\]]+)?\](?::.*)?$"
     )
     good = (
-        F.col(url_col).isNotNull()
-        & (F.length(raw) > 0)
+        raw.isNotNull()
+        & (raw != "")
         & balanced
         & ((F.col("_port_text") == "") | (F.col("_port") <= 65535))
     )

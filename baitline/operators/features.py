@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions import text as tx
 from baitline.functions import urls as ur
+from baitline.functions.characters import entropy, with_character_stats
 from baitline.functions.fixed_values import (
     FEATURE_NAMES,
     FEATURE_TLDS,
@@ -48,14 +49,13 @@ def url_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     u, host, path, query = (F.col(c) for c in ("normalized_url", "host", "path", "query"))
     base = base.withColumns({
         "_domain": ur.registered_domain(host),
-        "_letters": tx.kept_length(u, r"\P{L}"),
-        "_digits": tx.kept_length(u, r"\P{Nd}"),
-        "_specials": tx.kept_length(u, r"[\p{L}\p{N}]"),
-        "_encoded": F.regexp_count(u, F.lit(ENCODED_CHAR)),
+        "_encoded": F.when(u.contains("%"), F.regexp_count(u, F.lit(ENCODED_CHAR))).otherwise(0),
         "_words": distinct_feature_words(u),
     })
     base = base.withColumn("_subdomains", feature_subdomains(host, F.col("_domain")))
-    base = tx.with_entropy(base, {"_url_bits": u, "_host_bits": host, "_path_bits": path})
+    base = with_character_stats(base, "normalized_url", "_chars").withColumns({
+        "_host_bits": entropy(host), "_path_bits": entropy(path),
+    })
     size = F.length(u)
     exprs = {
         "url_length": size,
@@ -63,12 +63,12 @@ def url_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "path_length": F.length(path),
         "query_length": F.length(query),
         "fragment_length": F.length("fragment"),
-        "letter_count": F.col("_letters"),
-        "digit_count": F.col("_digits"),
-        "special_char_count": F.col("_specials"),
-        "digit_ratio": tx.ratio(F.col("_digits"), size),
-        "letter_ratio": tx.ratio(F.col("_letters"), size),
-        "special_char_ratio": tx.ratio(F.col("_specials"), size),
+        "letter_count": F.col("_chars.letters"),
+        "digit_count": F.col("_chars.digits"),
+        "special_char_count": F.col("_chars.specials"),
+        "digit_ratio": tx.ratio(F.col("_chars.digits"), size),
+        "letter_ratio": tx.ratio(F.col("_chars.letters"), size),
+        "special_char_ratio": tx.ratio(F.col("_chars.specials"), size),
         **{
             f"{name}_count": tx.occurrences(u, symbol)
             for name, symbol in {
@@ -83,15 +83,15 @@ def url_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "has_https": tx.flag(F.col("scheme") == "https"),
         "encoded_char_count": F.col("_encoded"),
         "hex_sequence_count": F.regexp_count(u, F.lit(HEX_RUN)),
-        "has_url_encoding": tx.flag(F.col("_encoded") > 0),
+        "has_url_encoding": tx.flag(u.contains("%") & u.rlike(ENCODED_CHAR)),
         "path_depth": tx.non_empty_parts(path, "/"),
         "query_parameter_count": tx.non_empty_parts(query, "&"),
         "suspicious_word_count": F.col("_words"),
         "has_suspicious_word": tx.flag(F.col("_words") > 0),
         "has_suspicious_tld": tx.flag(feature_tld(F.col("_domain"))),
-        "url_entropy": tx.twice("_url_bits"),
-        "hostname_entropy": tx.twice("_host_bits"),
-        "path_entropy": tx.twice("_path_bits"),
+        "url_entropy": F.col("_chars.bits"),
+        "hostname_entropy": F.col("_host_bits"),
+        "path_entropy": F.col("_path_bits"),
         "subdomain_ratio": F.when(
             F.length(host) > 0,
             F.col("_subdomains").cast("double") / (tx.occurrences(host, ".") + 1),

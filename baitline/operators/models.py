@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -21,10 +22,13 @@ from pyspark.storagelevel import StorageLevel
 
 from baitline.functions import urls as ur
 from baitline.functions.fixed_values import FEATURE_NAMES
+from baitline.functions.shipping import ship_with_tasks
 from baitline.operators import metrics
 from baitline.operators.dedup import union_for_refit
 from baitline.session import cut_lineage
 
+ship_with_tasks(__name__)
+
 # Hyper-parameters of the published models, and the ablation sets.
 ITERATIONS = 2000
 FOREST = {"numTrees": 300, "maxDepth": 18, "minInstancesPerNode": 2}
@@ -45,14 +49,28 @@ ABLATION_SETS = {
 }
 
 
-def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Append class weights n / (2 * class size); the two sizes come from one count."""
+def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> tuple[DataFrame, int]:
+    """Append class weights n / (2 * class size) and return the table with its row count.
+
+    The class sizes (one number per label) come from one count.
+    """
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     value = F.lit(1.0)
     for name, n in sizes.items():
         value = F.when(F.col(label) == name, total / (len(sizes) * n)).otherwise(value)
-    return df.withColumn(weight, value)
+    return df.withColumn(weight, value), total
+
+
+@contextmanager
+def held(*tables: DataFrame) -> Iterator[list[DataFrame]]:
+    """Keep tables that are read several times; lost blocks are recomputed by Spark."""
+    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in tables]
+    try:
+        yield kept
+    finally:
+        for t in kept:
+            t.unpersist()
 
 
 def _with_vector(classifier: Estimator, features: list[str], scale: bool) -> Pipeline:
@@ -69,24 +87,29 @@ _COMMON = {"featuresCol": "vector", "labelCol": "label"}
 
 def train_logreg(df: DataFrame, features: list[str] | None = None, scale: bool = False, max_iter: int = ITERATIONS, c: float = 1.0) -> PipelineModel:
     """Balanced logistic regression with an L2 penalty of strength 1 / c per training row."""
-    weighted = balanced_weights(df)
-    n = weighted.count()
-    classifier = LogisticRegression(
-        **_COMMON, weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False
-    )
-    return _with_vector(classifier, features or FEATURE_NAMES, scale).fit(weighted)
+    names = features or FEATURE_NAMES
+    with held(df.select(*names, "label")) as (rows,):
+        weighted, n = balanced_weights(rows)
+        classifier = LogisticRegression(
+            **_COMMON, weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False
+        )
+        return _with_vector(classifier, names, scale).fit(weighted)
 
 
 def train_forest(df: DataFrame, features: list[str] | None = None, **options) -> PipelineModel:
     """Balanced random forest."""
     classifier = RandomForestClassifier(**_COMMON, weightCol="weight", seed=SEED, **{**FOREST, **options})
-    return _with_vector(classifier, features or FEATURE_NAMES, False).fit(balanced_weights(df))
+    names = features or FEATURE_NAMES
+    with held(df.select(*names, "label")) as (rows,):
+        return _with_vector(classifier, names, False).fit(balanced_weights(rows)[0])
 
 
 def train_boosted(df: DataFrame, features: list[str] | None = None, **options) -> PipelineModel:
     """Gradient-boosted trees with shrinkage and row and column sampling."""
     classifier = GBTClassifier(**_COMMON, seed=SEED, **{**BOOSTED, **options})
-    return _with_vector(classifier, features or FEATURE_NAMES, False).fit(df)
+    names = features or FEATURE_NAMES
+    with held(df.select(*names, "label")) as (rows,):
+        return _with_vector(classifier, names, False).fit(rows)
 
 
 Trainer = Callable[[DataFrame, list[str]], PipelineModel]
@@ -140,15 +163,14 @@ RESULT_SCHEMA = (
 )
 
 
-def _measured(name: str, stage: str, trainer: Trainer, train: DataFrame, held: DataFrame, features: list[str]):
+def _measured(name: str, stage: str, trainer: Trainer, train: DataFrame, unseen: DataFrame, features: list[str]):
     started = time.perf_counter()
     model = trainer(train, features)
     trained = time.perf_counter()
-    scored = score_urls(held, model, features).persist(StorageLevel.MEMORY_AND_DISK)
-    n = scored.count()
-    done = time.perf_counter()
-    values = evaluate(scored)
-    scored.unpersist()
+    with held(score_urls(unseen, model, features)) as (scored,):
+        n = scored.count()
+        done = time.perf_counter()
+        values = evaluate(scored)
     row = {
         "model": name, **values, "train_seconds": trained - started, "predict_seconds": done - trained,
         "ms_per_row": (done - trained) * 1000.0 / n if n else None, "stage": stage,
@@ -166,14 +188,10 @@ def select_and_refit(
     """
     trainers, names = trainers or TRAINERS, features or FEATURE_NAMES
     spark = train.sparkSession
-    held = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (train, validation)]
-    try:
-        rows = [_measured(name, "validation", fit, *held, names)[1] for name, fit in trainers.items()]
+    with held(train, validation) as kept:
+        rows = [_measured(name, "validation", fit, *kept, names)[1] for name, fit in trainers.items()]
         best = max(rows, key=lambda r: r["f1"])["model"]
-        model, row = _measured(best, "test", trainers[best], union_for_refit(*held), test, names)
-    finally:
-        for t in held:
-            t.unpersist()
+        model, row = _measured(best, "test", trainers[best], union_for_refit(*kept), test, names)
     return model, spark.createDataFrame([*rows, row], RESULT_SCHEMA)
 
 
@@ -184,16 +202,12 @@ def ablation(
     """Validation metrics for every (feature set, model) pair."""
     trainers, names = trainers or TRAINERS, features or FEATURE_NAMES
     rows = []
-    held = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (train, validation)]
-    try:
+    with held(train, validation) as both:
         for set_name, dropped in (sets or ABLATION_SETS).items():
             kept = [f for f in names if f not in dropped]
             for name, fit in trainers.items():
-                _, row = _measured(name, "validation", fit, *held, kept)
+                _, row = _measured(name, "validation", fit, *both, kept)
                 rows.append({"feature_set": set_name, **row})
-    finally:
-        for t in held:
-            t.unpersist()
     return train.sparkSession.createDataFrame(rows, "feature_set string, " + RESULT_SCHEMA)
 
 

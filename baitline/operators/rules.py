@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions import text as tx
 from baitline.functions import urls as ur
+from baitline.functions.characters import entropy
 from baitline.functions.emit import emit_once
 from baitline.functions.fixed_values import (
     AUTH_PATH_PARTS,
@@ -98,7 +99,7 @@ def rule_signals(df: DataFrame, url_col: str = "url", brands: dict[str, list[str
         "_depth": tx.non_empty_parts(path, "/"),
         "_params": F.when(F.length(query) > 0, tx.occurrences(query, "&") + 1).otherwise(0),
     })
-    base = tx.with_entropy(base, {"_host_bits": host, "_path_bits": path})
+    base = base.withColumns({"_host_bits": entropy(host), "_path_bits": entropy(path)})
     named = {
         "is_https": F.col("scheme") == "https",
         "is_ip_address": ur.is_ip(host),
@@ -116,15 +117,15 @@ def rule_signals(df: DataFrame, url_col: str = "url", brands: dict[str, list[str
         "brand_matches": F.col("_brands"),
         "has_at_symbol": u.contains("@"),
         "has_percent_encoding": u.contains("%"),
-        "has_hex_encoding": u.rlike(r"%[0-9a-fA-F]{2}"),
+        "has_hex_encoding": u.contains("%") & u.rlike(r"%[0-9a-fA-F]{2}"),
         "excessive_percent_encoding": tx.occurrences(u, "%") >= MANY_PERCENTS,
         "path_depth": F.col("_depth"),
         "deep_path": F.col("_depth") >= DEEP_PATH,
         "suspicious_path_structure": path.rlike(AUTH_PATH_PATTERN),
         "query_parameter_count": F.col("_params"),
         "many_query_parameters": F.col("_params") >= MANY_PARAMETERS,
-        "hostname_entropy": tx.twice("_host_bits"),
-        "path_entropy": tx.twice("_path_bits"),
+        "hostname_entropy": F.col("_host_bits"),
+        "path_entropy": F.col("_path_bits"),
         "high_hostname_entropy": F.col("_host_bits") >= HIGH_ENTROPY,
         "high_path_entropy": F.col("_path_bits") >= HIGH_ENTROPY,
         "very_long_url": F.length(u) >= LONG_URL,

@@ -28,9 +28,12 @@ from baitline.functions.fixed_values import (
     RATE_WINDOW_SECONDS,
     RESULT_TTL_SECONDS,
 )
+from baitline.functions.shipping import ship_with_tasks
 from baitline.operators.ranking import chunked_row_number
 from baitline.session import cut_lineage
 
+ship_with_tasks(__name__)
+
 # Keys above this many rows take the distributed route.
 HOT_KEY_ROWS = 2_000_000
 SALTS = 16

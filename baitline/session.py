@@ -48,3 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute the rows of a scan that yields fewer splits than there are cores.
+
+    Meant for narrow rows ahead of heavy per-row work (a small or unsplittable file would
+    keep one core busy). A scan with enough splits is left alone, so large inputs are
+    not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.functions.hashing import leading_bits, unit_interval
+from baitline.session import spread
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def urls(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url."""
-    return read(spark, folder, "pages").select("page_id", "url")
+    return spread(read(spark, folder, "pages").select("page_id", "url"))
 
 
 def md5_label(text: Column) -> Column:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from baitline.functions.fixed_values import RATE_LIMIT, RATE_WINDOW_SECONDS, RESULT_TTL_SECONDS
+from baitline.functions.shipping import ship_with_tasks
 from baitline.operators.windows import SECOND, UNKNOWN_CLIENT, micros
 
+ship_with_tasks(__name__)
+
 WATERMARK = "10 minutes"
 
 
