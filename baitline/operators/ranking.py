@@ -85,7 +85,8 @@ def hash_cuts(df: DataFrame, digest: str, group: str, sizes: dict[str, object],
         .select(group, "_prefix", "_before", "w.cut", "w.k")
     )
     inside = Window.partitionBy(group, "_prefix", "cut").orderBy(digest)
-    ranked = prefixed.join(located, [group, "_prefix"]).withColumn(
+    # one row per cut and group on the broadcast side; groups are labels or a constant
+    ranked = prefixed.join(F.broadcast(located), [group, "_prefix"]).withColumn(
         "_rank", F.row_number().over(inside) + F.col("_before")
     )
     return (

@@ -132,23 +132,25 @@ def _chain_starts(nodes: DataFrame, key: str, at: str, width: int) -> DataFrame:
         jumps = cut_lineage(jumps.join(second, [key, "jump"]).select(key, "node", F.col("_far").alias("jump")))
 
 
-def lookup_window(events: DataFrame, starts: DataFrame, key: str, at: str, start: str, width: int, how: str) -> DataFrame:
+def lookup_window(
+    events: DataFrame, starts: DataFrame, key: str, at: str, start: str, width: int, how: str, salts: int = 1
+) -> DataFrame:
     """Give each event the non-overlapping window of its key that covers it.
 
     A window touches at most two grid cells of its own width, so the interval join is
-    an equi-join on (key, cell). Starts are few and are replicated over salts; the
-    events of a hot key spread over as many join tasks.
+    an equi-join on (key, cell). With ``salts`` above 1 the starts are replicated and
+    the events of one cell spread over that many join groups; otherwise adaptive
+    execution splits a skewed cell.
     """
     grid = lambda t: F.floor(t / width)
     placed = (
-        starts.select(key, F.col(start).alias("window_start_us"))
+        starts.select(F.col(key).alias("_key"), F.col(start).alias("window_start_us"))
         .withColumn("_cell", F.explode(F.array(grid(F.col("window_start_us")), grid(F.col("window_start_us")) + 1)))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        .withColumnRenamed(key, "_key")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salted = events.withColumns({
         "_event_cell": grid(F.col(at)),
-        "_event_salt": F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(SALTS)).cast("int"),
+        "_event_salt": F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts)).cast("int"),
     })
     match = (
         (F.col(key) == F.col("_key")) & (F.col("_event_cell") == F.col("_cell")) & (F.col("_event_salt") == F.col("_salt"))
@@ -159,7 +161,7 @@ def lookup_window(events: DataFrame, starts: DataFrame, key: str, at: str, start
 
 def _by_doubling(df: DataFrame, key: str, at: str, order: list[str], width: int) -> DataFrame:
     starts = _chain_starts(df.select(key, at).distinct(), key, at, width)
-    placed = lookup_window(df, starts, key, at, "node", width, "inner")
+    placed = lookup_window(df, starts, key, at, "node", width, "inner", SALTS)
     numbered = chunked_row_number(placed, [key, "window_start_us"], [at, *order], "position")
     return numbered.select(*df.columns, "window_start_us", F.col("position").cast("long").alias("position"))
 
