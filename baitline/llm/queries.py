@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitline.llm import archive, chats, shards
+from baitline.llm import archive, bpe, chats, lm, shards
 from baitline.llm.tables import table
 
 #: The tree of op3: 2 regions of 2 racks of 4 shards.
 SHARD_TREE = shards.layout(2, 2, 4)
+TOKENIZER = "word_bpe_49k.json"
 PROBE_CONVERSATION = """
 SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
 AS probe(conv_id, turn, role, text)
@@ -38,8 +40,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hash_tree_shards": op3_hash_tree_shards,
     "op6_chat_format": op6_chat_format,
     "op7_warc_archive": archive.archived_pages,
+    "op9_bpe_chunks": op9_bpe_chunks,
+    "op10_cross_entropy_difference": op10_cross_entropy_difference,
 }
