@@ -82,14 +82,11 @@ def _jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             F.col("conv_id").alias("c"), F.col("node_id").alias("n"), F.col("up").alias("up2"),
             F.col("steps").alias("steps2"), F.col("score").alias("score2"), F.col("rooted").alias("rooted2"),
         )
-        state = written(
-            state.join(other, _same("conv_id", "c") & (F.col("up") == F.col("n")), "left").select(
-                "conv_id", "node_id", F.col("up2").alias("up"),
-                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-                (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-                F.coalesce("rooted2", "rooted").alias("rooted"),
-            ), "chat-jumps",
+        further = state.filter("up IS NOT NULL").join(other, _same("conv_id", "c") & (F.col("up") == F.col("n"))).select(
+            "conv_id", "node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"),
+            (F.col("score") + F.col("score2")).alias("score"), F.col("rooted2").alias("rooted"),
         )
+        state = written(state.filter("up IS NULL").unionByName(further), "chat-jumps")
         jumps.append(state.filter("up IS NOT NULL").select("conv_id", "node_id", "up"))
         rounds += 1
     depths = state.filter(F.col("up").isNull() & F.col("rooted")).select(
@@ -115,7 +112,7 @@ def ranked_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     )
     for k, jump in enumerate(jumps):
         hop = jump.select(F.col("conv_id").alias("c"), F.col("node_id").alias("n"), "up")
-        further = path.join(hop, _same("conv_id", "c") & (F.col("node_id") == F.col("n"))).select(
+        further = path.filter(F.col("position") >= 2**k).join(hop, _same("conv_id", "c") & (F.col("node_id") == F.col("n"))).select(
             "conv_id", "leaf_id", "branch", "path_score", F.col("up").alias("node_id"),
             (F.col("position") - 2**k).alias("position"),
         )
