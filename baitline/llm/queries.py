@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitline.llm import archive, bpe, chats, lm, shards, toxicity
+from baitline.llm import archive, bpe, chats, lm, near_dedup, shards, toxicity
 from baitline.llm.tables import table
 
 #: The tree of op3: 2 regions of 2 racks of 4 shards.
@@ -20,6 +20,10 @@ AS probe(conv_id, turn, role, text)
 """
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Rule(words=4, percent=80))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_hash_tree_shards": op3_hash_tree_shards,
     "op6_chat_format": op6_chat_format,
