@@ -143,7 +143,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target text the target model is uniform. Adds ``held_out`` to the columns of ``score``.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left").select(
+    # labels grow with the corpus: both sides are always shuffled, so every size runs the same plan
+    marked = docs.select("doc_id", "text").hint("merge").join(good, F.col("doc_id") == F.col("good_id"), "left").select(
         "text", (F.col("good_id").isNotNull() & ~held_out()).alias("target"),
     )
     target, background = fit(marked)
