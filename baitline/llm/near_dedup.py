@@ -296,3 +296,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     return linked.withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_copies(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does, with all their columns.
+
+    Repeats of a staying row (equal doc_id and text) go too; rows with a null doc_id stay.
+    """
+    stay = near_duplicates(docs, rule).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

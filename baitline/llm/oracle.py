@@ -65,6 +65,21 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM ranked
 """
 
+TOP_K = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM rows q JOIN rows d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op3_hash_tree_shards": SHARDS, "op6_chat_format": CHATS, "op7_warc_archive": ARCHIVE,
+    "op3_hash_tree_shards": SHARDS, "op4_voronoi_top_k": TOP_K, "op6_chat_format": CHATS, "op7_warc_archive": ARCHIVE,
 }

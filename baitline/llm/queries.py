@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitline.llm import archive, bpe, chats, lm, near_dedup, shards, toxicity
+from baitline.llm import archive, bpe, chats, exact_search, lm, mixing, near_dedup, near_search, shards, toxicity
 from baitline.llm.tables import table
 
 #: The tree of op3: 2 regions of 2 racks of 4 shards.
 SHARD_TREE = shards.layout(2, 2, 4)
+#: Shares of all tokens that op8 aims at.
+DOMAIN_WEIGHTS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 TOKENIZER = "word_bpe_49k.json"
 PROBE_CONVERSATION = """
 SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
@@ -32,6 +34,18 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(exact_search.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), exact_search.scaled(F.col("embedding")).alias("vector"))
+    return exact_search.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(exact_search.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return near_search.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     messages = chats.linear_messages(turns.unionByName(spark.sql(PROBE_CONVERSATION)))
@@ -48,6 +62,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN_WEIGHTS)
+
+
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -60,8 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_hash_tree_shards": op3_hash_tree_shards,
+    "op4_voronoi_top_k": op4_voronoi_top_k,
+    "op5_vantage_point_trees": op5_vantage_point_trees,
     "op6_chat_format": op6_chat_format,
     "op7_warc_archive": archive.archived_pages,
+    "op8_soft_mixing": op8_soft_mixing,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_cross_entropy_difference": op10_cross_entropy_difference,
 }

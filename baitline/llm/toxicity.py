@@ -28,7 +28,7 @@ BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 6)
 #: The most labelled texts of each class that training takes, in the order of a hash of their ids, and the longest of them in bytes.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = {1: 2500, 0: 5000}, 1 << 16
-EPOCHS, BATCH, RATE, CALIBRATION = 8, 64, 0.1, 5
+EPOCHS, LEAST_STEPS, BATCH, RATE, CALIBRATION = 8, 700, 64, 0.1, 5
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "with", "be", "by", "on", "not", "this", "are", "or"],
@@ -146,7 +146,7 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
         seen[k] = seen[k] + grad**2
         return value - RATE * grad / np.sqrt(seen[k])
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(ids))))):
         order = rng.permutation(len(ids))
         for i in range(0, len(order), BATCH):
             rows = order[i:i + BATCH]
@@ -189,11 +189,11 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
 
 
 def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the fewest balanced errors; the middle of the gap where classes are apart."""
+    """The cut with the fewest errors; the middle of the gap where classes are apart."""
     order = np.argsort(logits)
     z, t = logits[order], y[order]
-    missed = np.concatenate([[0], np.cumsum(t)]) / max(t.sum(), 1)
-    false = (len(t) - t.sum() - np.concatenate([[0], np.cumsum(1 - t)])) / max((1 - t).sum(), 1)
+    missed = np.concatenate([[0], np.cumsum(t)])
+    false = len(t) - t.sum() - np.concatenate([[0], np.cumsum(1 - t)])
     cost = missed + false
     best = np.flatnonzero(cost == cost.min())
     k = best[len(best) // 2]
@@ -275,18 +275,18 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double, predicted int")
 
 
-def flagged(docs: DataFrame, model: Classifier) -> DataFrame:
-    """All columns of ``docs`` and ``predicted``, in one pass over the rows."""
+def without_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The rows of ``docs`` that the model does not find toxic, with all their columns, in one pass."""
     arrays = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    @F.arrow_udf("int")
-    def predict(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         loaded, table = Classifier(**arrays.value), _function_table()
         out = [loaded.logits(run, table) for run in runs(texts)]
-        cut = [(z >= loaded.thresholds[language]).astype(np.int32) for z, language in out]
-        return pa.array(np.concatenate(cut) if cut else np.empty(0, np.int32))
+        below = [z < loaded.thresholds[language] for z, language in out]
+        return pa.array(np.concatenate(below) if below else np.empty(0, bool))
 
-    return docs.withColumn("predicted", predict(F.coalesce("text", F.lit(""))))
+    return docs.filter(clean(F.coalesce("text", F.lit(""))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
