@@ -8,7 +8,8 @@ and filters, and the full sets, made again from the texts, decide.
 Lists of any length are first linked as stars: every member with the smallest. Members
 that this puts into one component need no further look. In lists that still hold several
 components, all pairs across them are compared: written out for short lists, in blocks
-inside tasks for long ones, where only pairs that pass the estimate leave the task.
+inside tasks for long ones, where the task estimates and verifies and only the links that
+hold components together leave it.
 
 Sets under ``SMALL_SET`` values use single values of an exact prefix filter as list keys,
 larger ones runs of ``RUN`` neighbouring values of the sketch. Two large sets at the
@@ -39,7 +40,7 @@ SMALL_SET = 64
 #: Estimates this far below the threshold are dropped: over four standard deviations of a 48-value sketch.
 ESTIMATE_SLACK = 0.25
 #: Longer lists are compared in blocks of so many members.
-SHORT_LIST, BLOCK, PART = 48, 1024, 128
+SHORT_LIST, BLOCK, PART, COLUMNS = 48, 1024, 128, 8192
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -200,48 +201,94 @@ def _short_pairs(members: DataFrame) -> DataFrame:
     return grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _block_pairs(percent: int) -> Callable:
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _incidence(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """1 where a row holds a value; ``values`` must ascend."""
+    out = np.zeros((len(rows), len(values)), dtype=np.float32)
+    if len(values):
+        for k, row in enumerate(rows):
+            place = np.minimum(np.searchsorted(values, row), len(values) - 1)
+            out[k, place[values[place] == row]] = 1
+    return out
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    values = np.intersect1d(np.concatenate([*left, np.empty(0, np.uint64)]), np.concatenate([*right, np.empty(0, np.uint64)]))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for i in range(0, len(values), COLUMNS):
+        part = values[i:i + COLUMNS]
+        cut = [[row[np.searchsorted(row, part[0]):np.searchsorted(row, part[-1], side="right")] for row in side] for side in (left, right)]
+        out += _incidence(cut[0], part) @ _incidence(cut[1], part).T
+    return out
+
+
+def _block_linker(rule: Rule) -> Callable:
+    """Verified links across components between two blocks of one list, as many as hold their components together."""
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        rows = rows.sort_values("rep")
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if not len(right):
-            right = left
-        flat, width = np.concatenate([np.frombuffer(s, np.uint64) for s in right["sketch"]]), [len(s) // 8 for s in right["sketch"]]
-        values, at = np.unique(flat, return_inverse=True)
-        held = np.zeros((len(right), len(values)), dtype=np.float32)
-        held[np.repeat(np.arange(len(right)), width), at] = 1
-        found = []
+        right = right if len(right) else left
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        numbers = lambda part, column: [np.frombuffer(x, np.uint64) for x in part[column]]
+        earlier = lambda part: [np.sort(np.array([k for k in x if k < key[0]], np.int64).astype(np.uint64)) for x in part["lists"]]
+        texts = lambda part: pa.array([unpacker.decompress(p) for p in part["packed"]], pa.binary()).cast(pa.string())
         sizes_r, comps_r, reps_r = (right[c].to_numpy() for c in ("n_shingles", "component", "rep"))
-        sketches_r = [np.frombuffer(s, np.uint64) for s in right["sketch"]]
+        sketches_r, earlier_r, sets_r = numbers(right, "sketch"), earlier(right), None
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found = []
         for i in range(0, len(left), PART):
             part = left.iloc[i:i + PART]
-            own = [np.frombuffer(s, np.uint64) for s in part["sketch"]]
-            mine = np.zeros((len(part), len(values)), dtype=np.float32)
-            for k, v in enumerate(own):
-                place = np.minimum(np.searchsorted(values, v), len(values) - 1)
-                mine[k, place[values[place] == v]] = 1
             sizes, comps, reps = (part[c].to_numpy()[:, None] for c in ("n_shingles", "component", "rep"))
-            # any value kept by both sketches that counts in the union's sketch is among the common ones
-            fits = (mine @ held.T) >= np.minimum(np.minimum(sizes, sizes_r), SKETCH) * (percent / 100 - ESTIMATE_SLACK)
-            fits &= (comps != comps_r) & (reps != reps_r) & (np.minimum(sizes, sizes_r) * 100 >= percent * np.maximum(sizes, sizes_r))
-            for k, j in zip(*np.nonzero(fits), strict=True):
-                if union_estimate(own[k], sketches_r[j]) >= percent / 100 - ESTIMATE_SLACK:
-                    found.append(sorted((int(reps[k, 0]), int(reps_r[j]))))
-        return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 2), columns=["a", "b"]).drop_duplicates()
-
-    return compare
-
-
-def _long_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of long lists (list, rep, n, component) that pass the estimate; every pair of blocks is one group."""
+            least = np.minimum(sizes, sizes_r)
+            fits = (comps != comps_r) & (reps != reps_r) & (least * 100 >= rule.percent * np.maximum(sizes, sizes_r))
+            # what both sketches hold is at least what counts in the union's sketch
+            fits &= common_counts(numbers(part, "sketch"), sketches_r) >= np.minimum(least, SKETCH) * (rule.percent / 100 - ESTIMATE_SLACK)
+            # a pair belongs to the first long list that both are in
+            fits &= common_counts(earlier(part), earlier_r) == 0
+            if not fits.any():
+                continue
+            sets_r = list(shingle_sets(texts(right), rule.words)) if sets_r is None else sets_r
+            common = common_counts(list(shingle_sets(texts(part), rule.words)), sets_r)
+            fits &= 100 * common >= rule.percent * (sizes + sizes_r - common)
+            for k in np.flatnonzero(fits.any(axis=1)):
+                own = find(int(comps[k, 0]))
+                near, first = np.unique(comps_r[fits[k]], return_index=True)
+                for component, j in zip(near.tolist(), reps_r[fits[k]][first].tolist(), strict=True):
+                    other = find(component)
+                    if other != own:
+                        root[other] = own
+                        found.append((int(reps[k, 0]), j))
+        return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return link
+
+
+def _long_links(members: DataFrame, sets: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Verified links across components of long lists (list, rep, n, component); every pair of blocks is one group.
+
+    Sketches, texts and the other long lists of a member (at most as many as its sketch
+    has keys) come along, so a task estimates, verifies and sends only a spanning forest.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side"),
     ))
+    lists = members.groupBy("rep").agg(F.collect_set("list").alias("lists"))
+    known = lists.join(sets.select("rep", "n_shingles", "sketch"), "rep").join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
     rows = placed.select("list", "rep", "component", F.explode(meetings).alias("m")).select("list", "rep", "component", "m.i", "m.j", "m.side")
-    return rows.join(sets.select("rep", "n_shingles", "sketch"), "rep").groupBy("list", "i", "j").applyInPandas(
-        _block_pairs(percent), "a long, b long",
-    ).distinct()
+    return rows.join(known, "rep").groupBy("list", "i", "j").applyInPandas(_block_linker(rule), "a long, b long")
 
 
 def links_between_sets(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -263,10 +310,9 @@ def links_between_sets(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     named = members.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     open_lists = written(named.join(mixed.select("list"), "list").select("list", "rep", "n", "component"), "open-lists")
-    short = estimated(_short_pairs(open_lists.filter(F.col("n") <= SHORT_LIST)), sets, rule.percent)
-    long = _long_pairs(open_lists.filter(F.col("n") > SHORT_LIST), sets, rule.percent)
-    second = verified(short.unionByName(long).distinct(), texts, rule)
-    return first.unionByName(written(second, "links"))
+    short = verified(estimated(_short_pairs(open_lists.filter(F.col("n") <= SHORT_LIST)), sets, rule.percent), texts, rule)
+    long = _long_links(open_lists.filter(F.col("n") > SHORT_LIST), sets, texts, rule)
+    return first.unionByName(written(short.unionByName(long), "links"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
