@@ -61,10 +61,10 @@ def grow(points: np.ndarray, rows: np.ndarray | None = None, seed: int = 5) -> t
 
 
 class Search:
-    """The k rows nearest to each query, found by descending one tree."""
+    """The k points nearest to each query, found by descending one tree."""
 
-    def __init__(self, points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> None:
-        self.points, self.queries, self.own, self.k, self.factor = points, queries, own, k, factor
+    def __init__(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> None:
+        self.points, self.queries, self.k, self.factor = points, queries, k, factor
         self.far = np.full((len(queries), k), np.inf)
         self.row = np.full((len(queries), k), -1, dtype=np.int64)
         self.looked = 0
@@ -80,7 +80,6 @@ class Search:
             rows = tree[1]
             self.looked += len(rows) * len(active)
             d = _gaps(self.queries[active], self.points[rows])
-            d[rows[None, :] == self.own[active][:, None]] = np.inf
             far = np.concatenate([self.far[active], d], axis=1)
             row = np.concatenate([self.row[active], np.broadcast_to(rows, d.shape)], axis=1)
             best = np.argsort(far, axis=1, kind="stable")[:, :self.k]
@@ -105,8 +104,13 @@ def _lifted(vectors: np.ndarray, square: float) -> np.ndarray:
 def _builder(width: int, square: float) -> Callable:
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
-        vectors = _matrix(rows["vector"].tolist(), width)
-        kept = {"ids": rows["vec_id"].to_numpy(), "vectors": vectors, "tree": grow(_lifted(vectors, square))}
+        # rows with equal vectors are one point of the tree, with their ids in order
+        vectors, point = np.unique(_matrix(rows["vector"].tolist(), width), axis=0, return_inverse=True)
+        point = point.reshape(-1)
+        kept = {
+            "ids": rows["vec_id"].to_numpy()[np.argsort(point, kind="stable")], "first": np.concatenate([[0], np.cumsum(np.bincount(point))]),
+            "vectors": vectors, "tree": grow(_lifted(vectors, square)),
+        }
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "index": [pickle.dumps(kept, protocol=4)]})
 
     return build
@@ -122,16 +126,19 @@ def _searcher(width: int, square: float, k: int, factor: float) -> Callable:
         rows = []
         if len(queries) and len(index):
             kept = pickle.loads(index["index"].iloc[0])  # written by _builder
-            ids, vectors = kept["ids"], kept["vectors"]
-            asked, names = _matrix(queries["vector"].tolist(), width), queries["vec_id"].to_numpy()
-            place = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-            own = np.where(ids[place] == names, place, -1)
-            found = Search(_lifted(vectors, square), np.concatenate([asked, np.zeros((len(asked), 1))], axis=1), own, k, factor)
+            ids, first, vectors = kept["ids"], kept["first"], kept["vectors"]
+            asked = _matrix(queries["vector"].tolist(), width)
+            found = Search(_lifted(vectors, square), np.concatenate([asked, np.zeros((len(asked), 1))], axis=1), k + 1, factor)
             found.descend(kept["tree"], np.arange(len(asked)))
-            for i, name in enumerate(names.tolist()):
-                at = found.row[i][found.row[i] >= 0]
-                at = at[ids[at] != name]
-                rows.append((name, ids[at].tolist(), inner_products(asked[i], vectors[at]).tolist() if len(at) else []))
+            for i, name in enumerate(queries["vec_id"].tolist()):
+                points = found.row[i][found.row[i] >= 0]
+                # of equal vectors, only the k + 1 smallest ids can be among the k best others
+                own = [ids[first[p]:min(first[p + 1], first[p] + k + 1)] for p in points]
+                names = np.concatenate(own) if own else np.empty(0, np.int64)
+                scores = np.repeat(inner_products(asked[i], vectors[points]), [len(x) for x in own]) if own else np.empty(0)
+                order = np.lexsort((names, -scores))
+                order = order[names[order] != name][:k]
+                rows.append((name, names[order].tolist(), scores[order].tolist()))
         return pd.DataFrame(rows, columns=["query_id", "vec_ids", "scores"])
 
     return search
