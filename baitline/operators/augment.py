@@ -67,12 +67,15 @@ def _rebuild(**changes: Column) -> Column:
 
 
 def mutation_candidates(marker: str = MARKER_VALUE) -> dict[str, Column]:
-    """Mutated URL per mutation name, from normalised parts."""
+    """Mutated URL per mutation name, from normalised parts; null where a mutation gives no valid URL."""
     scheme, host, path, query = (F.col(c) for c in ("scheme", "host", "path", "query"))
     www = host.startswith("www.")
     return {
         "toggle_scheme": _rebuild(scheme=F.when(scheme == "https", "http").otherwise("https")),
-        "add_www": _rebuild(host=F.when((host == "") | www, host).otherwise(F.concat(F.lit("www."), host))),
+        # a bracketed address takes no prefix: the result would not be a URL, so there is no candidate
+        "add_www": F.when(
+            ~host.contains(":"), _rebuild(host=F.when((host == "") | www, host).otherwise(F.concat(F.lit("www."), host)))
+        ),
         "remove_www": _rebuild(host=F.when(www, F.substr(host, F.lit(5))).otherwise(host)),
         "trailing_slash": _rebuild(
             path=F.when(path == "", "/").when(~path.endswith("/"), F.concat(path, F.lit("/")))
@@ -125,7 +128,7 @@ def _combine(
 ) -> DataFrame:
     """Every domain with every path and URL shape, in that order."""
     def place(shape: str) -> Column:
-        before, after = shape.replace("{p}", "{d}", 1).split("{d}{d}")
+        before, after = shape.split("{d}{p}")
         return F.concat(F.lit(before), F.col(domain_col), F.col("_path"), F.lit(after))
 
     ordered = "ord" in domains.columns
@@ -148,8 +151,8 @@ def literal_domains(spark: SparkSession, names: list[str]) -> DataFrame:
 def hard_negatives(domains: DataFrame, paths: list[str] | None = None, domain_col: str = "domain", limit: int | None = None) -> DataFrame:
     """Legitimate URLs that look like phishing: trusted domains with sensitive paths.
 
-    ``literal_domains(spark, LEGITIMATE_DOMAINS)`` with ``limit=MAX_HARD_NEGATIVES`` gives
-    the stock list. Each domain row is expanded in place by the two literal lists.
+    ``stock_hard_cases`` gives the stock list. ``domains`` is a curated table; without a
+    ``limit`` every row is used. Each domain row is expanded in place by the two literal lists.
     """
     return _combine(domains, paths or fv.LEGITIMATE_PATHS, fv.HARD_NEGATIVE_SHAPES, 0, SOURCES[2], domain_col, limit)
 
@@ -160,10 +163,9 @@ def hard_positives(domains: DataFrame, paths: list[str] | None = None, domain_co
 
 
 def stock_hard_cases(spark: SparkSession) -> list[DataFrame]:
-    """The two stock synthetic tables, limits applied."""
+    """The two stock synthetic tables, whole."""
     return [
-        hard_negatives(literal_domains(spark, fv.LEGITIMATE_DOMAINS), limit=fv.MAX_HARD_NEGATIVES),
-        hard_positives(literal_domains(spark, fv.PHISHING_HOSTS), limit=fv.MAX_HARD_POSITIVES),
+        hard_negatives(literal_domains(spark, fv.LEGITIMATE_DOMAINS)), hard_positives(literal_domains(spark, fv.PHISHING_HOSTS)),
     ]
 
 
@@ -222,7 +224,8 @@ def sensitivity_cases(spark: SparkSession, urls: list[str] | None = None) -> Dat
 
 
 def score_deltas(scored: DataFrame, probability: str = "probability") -> DataFrame:
-    """Distance of every variant's probability from the base (variant 0)."""
-    base = scored.where(F.col("variant") == 0).select(F.lit(1).alias("_one"), F.col(probability).alias("base_probability"))
-    joined = scored.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").drop("_one")
+    """Distance of every variant's probability from its base (variant 0 of the same ``base_url``, or of the one base there is)."""
+    keyed = scored if "base_url" in scored.columns else scored.withColumn("base_url", F.lit(""))
+    base = keyed.where(F.col("variant") == 0).select("base_url", F.col(probability).alias("base_probability"))
+    joined = keyed.join(base, "base_url").select(*scored.columns, "base_probability")
     return joined.withColumn("delta", F.col(probability) - F.col("base_probability"))

@@ -136,8 +136,8 @@ def drop_constant_features(df: DataFrame, label_col: str = "label") -> DataFrame
 def detect_columns(df: DataFrame) -> tuple[str | None, str]:
     """Names of the URL and label columns.
 
-    Known names win; otherwise the first column whose sample of 100 values is mostly
-    URL-like. The sample size is part of the operator.
+    Known names win; otherwise the first column of whose values most are URL-like, over
+    all rows, from one aggregation.
     """
     label = next((c for c in LABEL_COLUMN_NAMES if c in df.columns), None)
     if label is None:
@@ -145,12 +145,9 @@ def detect_columns(df: DataFrame) -> tuple[str | None, str]:
     known = next((c for c in URL_COLUMN_NAMES if c in df.columns), None)
     if known:
         return known, label
-    for name in df.columns:
-        text = F.col(f"`{name}`").cast("string")
-        sample = df.select(text.alias("v")).where("v IS NOT NULL").limit(100)
-        share = sample.agg(F.avg(F.col("v").rlike(URL_LIKE).cast("int"))).first()[0]
-        if share is not None and share > 0.5:
-            return name, label
-    return None, label
+    texts = {name: F.col(f"`{name}`").cast("string") for name in df.columns}
+    shares = df.agg(*[F.avg(text.rlike(URL_LIKE).cast("int")).alias(f"_{i}") for i, text in enumerate(texts.values())]).first()
+    found = (name for name, share in zip(texts, shares, strict=True) if share is not None and share > 0.5)
+    return next(found, None), label
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baitline.functions.fixed_values import HISTORY_LIMIT
 
 # Columns and types of the history table, in order.
 HISTORY_COLUMNS = {
@@ -69,8 +68,10 @@ def history_rows(scans: DataFrame, id_col: str = "event_id", ts_col: str = "ts")
 
 
 def recent_scans(history: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest scans first; the limit is held between 1 and 1000."""
-    return history.orderBy(F.desc("scanned_at"), F.desc("id")).limit(max(1, min(int(limit), HISTORY_LIMIT)))
+    """The ``limit`` newest scans, newest first."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return history.orderBy(F.desc("scanned_at"), F.desc("id")).limit(limit)
 
 
 def scan_stats(history: DataFrame, case_sensitive: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -25,6 +25,7 @@ from baitline.functions.fixed_values import FEATURE_NAMES
 from baitline.functions.shipping import ship_with_tasks
 from baitline.operators import metrics
 from baitline.operators.dedup import union_for_refit
+from baitline.operators.ranking import chunked_row_number
 from baitline.session import cut_lineage
 
 ship_with_tasks(__name__)
@@ -38,7 +39,6 @@ BOOSTED_LARGE = {"maxIter": 400, "maxDepth": 8, "stepSize": 0.08, "subsamplingRa
 BOOSTED_HISTOGRAM = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.08}
 NGRAM_SIZES = (2, 3, 4, 5)
 MIN_DOCUMENTS = 3
-MAX_VOCABULARY = 150_000
 HOST_C = 3.0
 SEED = 42
 ABLATION_SETS = {
@@ -241,13 +241,13 @@ def host_grams(df: DataFrame, host: str = "host", sizes: tuple[int, ...] = NGRAM
 
 def ngram_document_frequency(
     df: DataFrame, host: str = "host", sizes: tuple[int, ...] = NGRAM_SIZES,
-    min_df: int = MIN_DOCUMENTS, max_size: int | None = MAX_VOCABULARY,
+    min_df: int = MIN_DOCUMENTS, max_size: int | None = None,
 ) -> DataFrame:
     """gram, n_documents, n_terms: the character n-gram vocabulary of a host column.
 
     Every input row is a document. Equal hosts are folded first with their row count,
     so n-grams are generated once per host and a hot host costs no more than a rare
-    one. The size cap, by total count, is part of the vocabulary's definition.
+    one. ``max_size`` keeps the most frequent n-grams only; without it none is left out.
     """
     per_host = df.where(F.col(host) != "").groupBy(host).agg(F.count(F.lit(1)).alias("n"))
     grams = host_grams(per_host, host, sizes, keys=[host, "n"])
@@ -262,7 +262,7 @@ def ngram_document_frequency(
 class HostnameModel:
     """Vocabulary weights of a linear TF-IDF model, applied with joins.
 
-    ``weights`` has at most the vocabulary size in rows: (gram, idf, coefficient).
+    ``weights`` has one row per n-gram of the vocabulary: (gram, idf, coefficient).
     """
 
     def __init__(self, weights: DataFrame, intercept: float, sizes: tuple[int, ...] = NGRAM_SIZES):
@@ -271,13 +271,13 @@ class HostnameModel:
     def score(self, df: DataFrame, host: str = "host") -> DataFrame:
         """Append ``available``, ``probability`` and ``prediction`` per row.
 
-        Distinct hosts are scored once and joined back; the weight table is bounded by
-        the vocabulary cap, so it is broadcast.
+        Distinct hosts are scored once and joined back; the weight table grows with the
+        vocabulary, so adaptive execution chooses its join by measured size.
         """
         hosts = df.where(F.col(host) != "").select(F.col(host).alias("_host")).distinct()
         grams = host_grams(hosts, "_host", self.sizes)
         value = (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
-        known = grams.join(F.broadcast(self.weights), "gram").withColumn("_x", value)
+        known = grams.join(self.weights, "gram").withColumn("_x", value)
         sums = known.groupBy("_host").agg(
             F.sum(F.col("_x") * F.col("coefficient")).alias("_dot"), F.sum(F.col("_x") * F.col("_x")).alias("_square")
         )
@@ -302,7 +302,7 @@ class HostnameModel:
 
 def train_hostname_model(
     df: DataFrame, url_col: str = "url", sizes: tuple[int, ...] = NGRAM_SIZES, min_df: int = MIN_DOCUMENTS,
-    max_size: int = MAX_VOCABULARY, c: float = HOST_C, max_iter: int = 1000,
+    max_size: int | None = None, c: float = HOST_C, max_iter: int = 1000,
 ) -> HostnameModel:
     """Sub-linear TF-IDF over character n-grams with a balanced logistic regression.
 
@@ -315,22 +315,23 @@ def train_hostname_model(
         hosts.where(F.col("host") != "").groupBy("host", "label").agg(F.count(F.lit(1)).alias("n"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    grams = numbered = None
     try:
         sizes_by_label = {r["label"]: r["n"] for r in folded.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         total = sum(sizes_by_label.values())
         documents = folded.groupBy("host").agg(F.sum("n").alias("n"))
-        grams = host_grams(documents, "host", sizes, keys=["host", "n"])
-        vocabulary = (
-            grams.groupBy("gram").agg(F.sum("n").alias("n_documents"), F.sum(F.col("n") * F.col("tf")).alias("n_terms"))
-            .where(F.col("n_documents") >= min_df).orderBy(F.desc("n_terms"), "gram").limit(max_size)
-        )
-        # the vocabulary is capped, so numbering it in one window is bounded
-        numbered = vocabulary.select(
-            "gram", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("gram")) - 1).alias("index"),
+        grams = host_grams(documents, "host", sizes, keys=["host", "n"]).persist(StorageLevel.MEMORY_AND_DISK)
+        vocabulary = grams.groupBy("gram").agg(
+            F.sum("n").alias("n_documents"), F.sum(F.col("n") * F.col("tf")).alias("n_terms")
+        ).where(F.col("n_documents") >= min_df)
+        if max_size is not None:
+            vocabulary = vocabulary.orderBy(F.desc("n_terms"), "gram").limit(max_size)
+        numbered = chunked_row_number(vocabulary.withColumn("_all", F.lit(1)), ["_all"], ["gram"], "index").select(
+            "gram", (F.col("index") - 1).cast("int").alias("index"),
             (F.log((F.lit(1.0) + total) / (F.col("n_documents") + 1.0)) + 1.0).alias("idf"),
         ).persist(StorageLevel.MEMORY_AND_DISK)
         width = numbered.count()
-        weighed = host_grams(documents, "host", sizes).join(F.broadcast(numbered), "gram").withColumn(
+        weighed = grams.select("host", "gram", "tf").join(numbered, "gram").withColumn(
             "_x", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
         )
         # a host has at most four n-grams per character, so the list per host is short
@@ -354,10 +355,11 @@ def train_hostname_model(
             [(i, float(v)) for i, v in enumerate(coefficients)], "index int, coefficient double"
         )
         weights = cut_lineage(numbered.join(table, "index").select("gram", "idf", "coefficient"))
-        numbered.unpersist()
         return HostnameModel(weights, float(fitted.intercept), sizes)
     finally:
-        folded.unpersist()
+        for table in (folded, grams, numbered):
+            if table is not None:
+                table.unpersist()
 
 
 def behaviour_test(scored_cases: DataFrame) -> DataFrame:

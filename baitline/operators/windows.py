@@ -47,7 +47,7 @@ def micros(ts: str) -> Column:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], key: str, at: str, width: int) -> Iterator[pa.RecordBatch]:
-    """Add window start and position to batches sorted by (key, time)."""
+    """Add window start and position to batches sorted by (key, time). Keys are never null."""
     last_key, start, seen = None, 0, 0
     for batch in batches:
         if batch.num_rows == 0:
@@ -174,16 +174,16 @@ def anchored_windows(
     ``order`` breaks ties between events of one timestamp and should make rows unique.
     """
     width = int(seconds * SECOND)
-    timed = df.withColumn("at_us", micros(ts))
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_key_rows).select(key)
+    # a null key is a key of its own on every route: comparisons and joins see a mark instead
+    named = F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+    timed = df.withColumns({"at_us": micros(ts), "_named": named})
+    hot = timed.groupBy("_named").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_key_rows).select("_named")
     hot = cut_lineage(hot)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _by_scan(timed, key, "at_us", order, width)
-    # hot keys are at most rows / hot_key_rows; broadcast them only when they are few
-    marked = F.broadcast(hot) if n_hot <= 100_000 else hot
-    cool = _by_scan(timed.join(marked, key, "left_anti"), key, "at_us", order, width)
-    return cool.unionByName(_by_doubling(timed.join(marked, key, "left_semi"), key, "at_us", order, width))
+    if hot.isEmpty():
+        return _by_scan(timed, "_named", "at_us", order, width).drop("_named")
+    cool = _by_scan(timed.join(hot, "_named", "left_anti"), "_named", "at_us", order, width)
+    crowded = _by_doubling(timed.join(hot, "_named", "left_semi"), "_named", "at_us", order, width)
+    return cool.unionByName(crowded).drop("_named")
 
 
 def rate_limit(

@@ -594,7 +594,7 @@ S["category_prediction_matrix"] = with_(JUDGED) + (
 )
 S["ngram_document_frequency"] = """WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
 g AS (SELECT page_id, substr(host, s, n) AS gram FROM h CROSS JOIN (SELECT unnest([2, 3, 4, 5]) AS n) CROSS JOIN (SELECT unnest(range(1, 300)) AS s) WHERE s + n - 1 <= length(host))
-SELECT gram, count(DISTINCT page_id) AS n_documents, count(*) AS n_terms FROM g GROUP BY gram HAVING count(DISTINCT page_id) >= 3 ORDER BY n_terms DESC, gram LIMIT 150000"""
+SELECT gram, count(DISTINCT page_id) AS n_documents, count(*) AS n_terms FROM g GROUP BY gram HAVING count(DISTINCT page_id) >= 3"""
 S["domains_per_split"] = with_(STRATIFIED) + "SELECT split, count(DISTINCT domain) AS n_domains FROM stratified GROUP BY split"
 
 S["recent_scans"] = with_(SCAN_LOG) + "SELECT event_id AS id, nu AS url, risk_level AS prediction, round(round(risk_raw, 2), 6) AS risk_score, epoch_us(ts) AS scanned_at_us FROM log ORDER BY ts DESC, event_id DESC LIMIT 100"

@@ -37,27 +37,35 @@ def _advance(times: np.ndarray, start: int | None, seen: int, width: int):
 def anchored_stream(events: DataFrame, key: str, ts: str, order: str, seconds: float, watermark: str = WATERMARK) -> DataFrame:
     """Streaming ``anchored_windows``: key, order, at_us, window_start_us, position.
 
-    State per key is the open window (start, count); it expires with the watermark. Only
-    three narrow columns reach Python. A key's rows of one micro-batch are ordered
-    together, so bound the batch at the source (files, offsets or bytes per trigger).
+    Rows may come in any order within the watermark: they wait in the key's state until
+    the watermark has passed them, so no earlier row can follow, and are then placed in
+    order. State per key is the open window (start, count) and the waiting rows; it is
+    dropped when nothing waits and the window has lapsed. Rows older than the watermark
+    are dropped by Spark. Only three narrow columns reach Python. A row is emitted once
+    the stream's time is a watermark past it.
     """
     width = int(seconds * SECOND)
     key_type, order_type = events.schema[key].dataType.simpleString(), events.schema[order].dataType.simpleString()
 
     def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        start, seen, held_at, held_tie = state.get if state.exists else (None, 0, [], [])
+        held = pd.DataFrame({"at_us": pd.Series(held_at, dtype="int64"), "tie": held_tie})
+        new = [c[["at_us", "tie"]] for c in chunks if len(c)]
+        rows = pd.concat([held, *new] if len(held) or not new else new, ignore_index=True).sort_values(["at_us", "tie"], kind="stable")
+        passed = state.getCurrentWatermarkMs()
+        ready, wait = rows[rows["at_us"] <= passed * 1000], rows[rows["at_us"] > passed * 1000]
+        starts, positions, start, seen = _advance(ready["at_us"].to_numpy(), start, seen, width)
+        if not len(wait) and (start is None or start + width <= passed * 1000):
             state.remove()
-            return
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["at_us", "tie"], kind="stable")
-        start, seen = state.get if state.exists else (None, 0)
-        starts, positions, start, seen = _advance(rows["at_us"].to_numpy(), start, seen, width)
-        state.update((start, seen))
-        lapses = (start + width) // 1000 + 1
-        state.setTimeoutTimestamp(max(lapses, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            key: group[0], order: rows["tie"].to_numpy(), "at_us": rows["at_us"].to_numpy(),
-            "window_start_us": starts, "position": positions,
-        })
+        else:
+            state.update((start, seen, wait["at_us"].tolist(), wait["tie"].tolist()))
+            due = int(wait["at_us"].iloc[0]) if len(wait) else start + width
+            state.setTimeoutTimestamp(max(due // 1000 + 1, passed + 1))
+        if len(ready):
+            yield pd.DataFrame({
+                key: group[0], order: ready["tie"].to_numpy(), "at_us": ready["at_us"].to_numpy(),
+                "window_start_us": starts, "position": positions,
+            })
 
     narrow = events.withWatermark(ts, watermark).select(
         F.col(key), F.col(ts).alias("event_time"), micros(ts).alias("at_us"), F.col(order).alias("tie")
@@ -65,7 +73,7 @@ def anchored_stream(events: DataFrame, key: str, ts: str, order: str, seconds: f
     return narrow.groupBy(key).applyInPandasWithState(
         step,
         f"{key} {key_type}, {order} {order_type}, at_us long, window_start_us long, position long",
-        "start long, seen long",
+        f"start long, seen long, held_at array<long>, held_tie array<{order_type}>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -111,6 +111,15 @@ def test_marker_re_encodes(spark):
     assert got == ["a=%2F+b&c=&d=~%2A&e=100%25&ref=internal", "ref=1", "ref=internal"]
 
 
+def test_addresses_and_odd_parts_survive_augmentation(spark):
+    urls = ["http://[2001:db8::1]/x", "https://user:pw@example.com:8443/a?b=1#c", "http://192.168.1.10:81/login"]
+    df = spark.createDataFrame([(u, 1, i) for i, u in enumerate(urls)], "url string, label int, ord int")
+    rows = augment.robust_split(df, 9).select("url", "original_url", "augmentation_source").collect()
+    assert {r["original_url"] for r in rows} == set(urls)
+    assert not any("[www." in r["url"] for r in rows)
+    assert all(sum(r["original_url"] == u for r in rows) >= 5 for u in urls)
+
+
 def test_stock_cases(spark):
     negatives, positives = augment.stock_hard_cases(spark)
     assert (negatives.count(), positives.count()) == (9600, 500)
@@ -156,7 +165,9 @@ def test_scan_history_and_replay(spark, folder, tmp_path):
     stats = history.scan_stats(stored).first()
     assert stats["total"] == 2 * n_good == stats["safe"] + stats["suspicious"] + stats["phishing"]
     assert history.scan_stats(stored, case_sensitive=True).first()["safe"] == 0
-    assert history.recent_scans(stored, 0).count() == 1
+    assert history.recent_scans(stored, 1).count() == 1
+    with pytest.raises(ValueError):
+        history.recent_scans(stored, 0)
     for _ in range(2):
         corpus.append_scan_batch(rows, 7, f"{tmp_path}/stream")
     assert corpus.read_history(spark, f"{tmp_path}/stream").count() == n_good

@@ -52,6 +52,17 @@ def test_routes_agree_with_brute_force(events, hot_rows):
     assert as_map(got) == want
 
 
+@pytest.mark.parametrize("hot_rows", [10**9, 0])
+def test_null_keys_are_a_key_of_their_own(spark, hot_rows):
+    rows = [(1, None, 0), (2, "a", 5), (3, None, 20), (4, "n", 21), (5, None, 70), (6, "a", 30)]
+    df = spark.createDataFrame(rows, "event_id long, url string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = windows.ttl_cache_events(df, order=["event_id"], seconds=60, hot_key_rows=hot_rows)
+    got = {r["event_id"]: (r["url"], r["cache_hit"], r["position"], r["window_start_us"] // 10**6) for r in out.collect()}
+    assert got == {
+        1: (None, False, 1, 0), 3: (None, True, 2, 0), 5: (None, False, 1, 70), 2: ("a", False, 1, 5), 6: ("a", True, 2, 5), 4: ("n", False, 1, 21),
+    }
+
+
 def test_missing_client_is_unknown(spark):
     rows = [(1, None, "2024-01-01 00:00:00"), (2, "", "2024-01-01 00:00:01"), (3, "a", "2024-01-01 00:00:02")]
     df = spark.createDataFrame(rows, "event_id long, client string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -80,12 +91,13 @@ def test_job_latest_and_expiry(spark):
     assert gaps == {("a", None): False, ("b", None): False, ("a", 1800 * 10**6): False, ("a", 3600 * 10**6): True}
 
 
-def stream_of(spark, df, path, parts=3):
-    """Write ``df`` as time-ordered files and read them one file per batch."""
-    ordered = df.orderBy("ts", "event_id").collect()
+def stream_of(spark, df, path, parts=3, order=("ts", "event_id"), end=None):
+    """Write ``df`` as ordered files and read them one file per batch; ``end`` is a last row that moves the watermark."""
+    ordered = df.orderBy(*order).collect()
     size = -(-len(ordered) // parts)
-    for i in range(parts):
-        spark.createDataFrame(ordered[i * size:(i + 1) * size], df.schema).coalesce(1).write.mode("append").parquet(path)
+    files = [ordered[i * size:(i + 1) * size] for i in range(parts)] + ([[end]] if end else [])
+    for rows in files:
+        spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -100,16 +112,22 @@ def requests(spark, folder):
     return t.scan_requests(spark, folder).select("event_id", "client", "ts", "url").cache()
 
 
-def test_rate_limit_stream_equals_batch(spark, requests, tmp_path):
-    stream = limits.rate_limit_stream(stream_of(spark, requests, str(tmp_path)), limit=3, seconds=HOURS)
-    run(stream, "limited")
+END = (-1, "the end", dt.datetime(2030, 1, 1), "http://end.example")
+
+
+@pytest.mark.parametrize("order", [("ts", "event_id"), ("shuffled",)])
+def test_rate_limit_stream_equals_batch(spark, requests, tmp_path, order):
+    table = requests.withColumn("shuffled", F.md5(F.col("event_id").cast("string")))
+    source = stream_of(spark, table, str(tmp_path), order=order, end=(*END, ""))
+    name = f"limited_{len(order)}"
+    run(limits.rate_limit_stream(source, limit=3, seconds=HOURS, watermark="60 days"), name)
     cols = ["event_id", "window_start_us", "position", "allowed", "remaining", "reset_after"]
     batch = windows.rate_limit(requests, order=["event_id"], limit=3, seconds=HOURS)
-    assert sorted(map(tuple, spark.table("limited").select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+    assert sorted(map(tuple, spark.table(name).select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
 
 
 def test_cache_stream_equals_batch(spark, requests, tmp_path):
-    source = stream_of(spark, requests, str(tmp_path))
+    source = stream_of(spark, requests, str(tmp_path), end=END)
     run(limits.dedup_stream(source, seconds=HOURS), "fresh")
     batch = windows.ttl_cache_events(requests, order=["event_id"], seconds=HOURS).where("NOT cache_hit")
     assert {r["event_id"] for r in spark.table("fresh").collect()} == {r["event_id"] for r in batch.collect()}
