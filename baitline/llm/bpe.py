@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baitline.functions.shipping import ship_with_tasks
-from baitline.llm.words import RUN_BYTES, buffers, mix
+from baitline.llm.words import RUN_BYTES, buffers, mix, runs
 from baitline.llm.worker import worker_state
 
 ship_with_tasks(__name__)
@@ -32,7 +32,9 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
 #: Words whose ids a worker remembers; when there are more, it starts over.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 1_200_000
+#: Texts are encoded in runs of about so many bytes.
+ENCODED_BYTES = 3 << 20
 #: A word of its own that marks the ends of words encoded in one call.
 MARK = "\x01"
 BATCH_BYTES = 8 << 20
@@ -40,7 +42,7 @@ _ROLL = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 
 
 class WordCoder:
-    """Ids and decoded text of words, remembered, from a tokenizer file."""
+    """Ids of words, remembered, from a tokenizer file. Words are found and looked up by hash, a run of texts at a time."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -49,42 +51,80 @@ class WordCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        found: list[list[int]] = []
-        if len(self.mark) == 1 and not any(MARK in t or "<|" in t for t in texts):
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(texts), add_special_tokens=False).ids, dtype=np.uint32)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.pieces = [n.encode() for n in names]
+        self.closing = np.array([n.endswith("</w>") for n in names])
+        self.mark = self._ids(MARK)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.first, self.heads = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.uint64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _learned(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each word, from as few calls as can be told apart again."""
+        if all(t.isalpha() for t in texts):
+            # a word of letters ends in one closing piece; if letters fall apart when normalised there are more
+            ids = self._ids(" ".join(texts))
+            at = np.flatnonzero(self.closing[ids]) + 1
+            if len(at) == len(texts):
+                return np.split(ids, at[:-1])
+        elif len(self.mark) == 1 and not any(MARK in t or "<|" in t for t in texts):
+            ids = self._ids(f" {MARK} ".join(texts))
             at = np.flatnonzero(ids == self.mark[0])
-            found = np.split(ids, at) if len(at) == len(texts) - 1 else []
-            found = [found[0], *[part[1:] for part in found[1:]]] if found else []
-        if not found:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        for word, ids in zip(new, found, strict=True):
-            self.ids[word] = np.asarray(ids, dtype="<u4").tobytes()
-            self.decoded[word] = b" ".join([self.pieces[i] for i in ids])
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Learn the words of the texts that are not known yet, together."""
-        if len(self.ids) > REMEMBERED_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
-        new = set(b" ".join(texts).split()).difference(self.ids)
-        plain = [w for w in new if b"<|" not in w and b"\x01" not in w]
-        if plain:
-            self._learn(plain)
-        if odd := [w for w in new if b"<|" in w or b"\x01" in w]:
-            self._learn(odd)
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.ids.__getitem__, text.split()))
-
-    def decode(self, text: bytes) -> bytes:
-        return b" ".join(filter(None, map(self.decoded.__getitem__, text.split())))
+            if len(at) == len(texts) - 1:
+                parts = np.split(ids, at)
+                return [parts[0], *[p[1:] for p in parts[1:]]]
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, texts: list[str], hashes: list[int], heads: np.ndarray) -> np.ndarray:
+        """Remember new words; returns their places."""
+        odd = lambda t: "<|" in t or MARK in t
+        groups = [[], [], []]
+        for i, t in enumerate(texts):
+            groups[0 if t.isalpha() else 2 if odd(t) else 1].append(i)
+        found: list[np.ndarray] = [self.flat] * len(texts)
+        for group in groups:
+            for i, ids in zip(group, self._learned([texts[i] for i in group]) if group else [], strict=True):
+                found[i] = ids
+        places = len(self.first) - 1 + np.arange(len(texts))
+        self.known.update(zip(hashes, places.tolist(), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+        self.flat, self.heads = np.concatenate([self.flat, *found]), np.concatenate([self.heads, heads])
+        return places
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray] = []
+        for run in runs(pa.array(texts, pa.binary()).cast(pa.string()), lower=False, run_bytes=ENCODED_BYTES):
+            if len(self.known) > REMEMBERED_WORDS:
+                self._forget()
+            hashes, at, of = np.unique(run.hashes, return_index=True, return_inverse=True)
+            start, end = run.starts[at], run.ends[at]
+            heads = (end - start).astype(np.uint64) << np.uint64(56)
+            for j in range(7):
+                heads |= np.where(end - start > j, run.data[np.minimum(start + j, len(run.data) - 1)].astype(np.uint64) << np.uint64(8 * j), np.uint64(0))
+            listed = hashes.tolist()
+            place = np.array([self.known.get(h, -1) for h in listed], dtype=np.int64)
+            # a remembered word must also agree in length and first bytes
+            new = np.flatnonzero((place < 0) | (np.append(self.heads, np.uint64(0))[place] != heads))
+            if len(new):
+                body = run.data.tobytes()
+                fresh = [body[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+                place[new] = self._learn(fresh, [listed[i] for i in new.tolist()], heads[new])
+            place = place[of.reshape(-1)]
+            size = self.first[place + 1] - self.first[place]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(self.first[place] - upto[:-1], size) + np.arange(upto[-1])]
+            bounds = upto[run.first]
+            out += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b" ".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 def _coder(path: str) -> WordCoder:
@@ -144,7 +184,7 @@ def _unpacked(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [unpacker.decompress(p.as_buffer()) for p in batch.column(column)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
@@ -176,18 +216,13 @@ def _publisher(path: str) -> Callable:
             texts = _unpacked(batch, "packed")
             owned = batch.column("places").to_pylist()
             cores = [t[slice(*spans[p])] for t, spans, own in zip(texts, _spans_of(texts), owned, strict=True) for p in own]
-            coder.prepare(cores)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_digest(c) for c in cores], pa.binary()), pa.array([coder.encode(c) for c in cores], pa.binary()),
-                    pa.array([coder.decode(c) for c in cores], pa.binary()),
-                ], names=["core", "ids", "decoded"],
-            )
+            ids = [x.astype("<u4").tobytes() for x in coder.encode(cores)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(c) for c in cores], pa.binary()), pa.array(ids, pa.binary())], names=["core", "ids"])
 
     return publish
 
 
-def _parts(text: bytes, spans: list[tuple[int, int]], known: dict[int, tuple[bytes, bytes]]) -> list[tuple[int, int] | int]:
+def _parts(text: bytes, spans: list[tuple[int, int]], known: dict[int, bytes]) -> list[tuple[int, int] | int]:
     """The text in order as places of borrowed cores and byte ranges to encode here."""
     parts: list[tuple[int, int] | int] = []
     done = 0
@@ -205,15 +240,17 @@ def _assembler(path: str) -> Callable:
         coder = _coder(path)
         for batch in _slices(batches):
             texts = _unpacked(batch, "packed")
-            borrowed = [{b["place"]: (b["ids"], b["decoded"]) for b in row or ()} for row in batch.column("borrowed").to_pylist()]
-            plans = [_parts(t, spans, known) for t, spans, known in zip(texts, _spans_of(texts), borrowed, strict=True)]
-            coder.prepare([t[slice(*p)] for t, plan in zip(texts, plans, strict=True) for p in plan if isinstance(p, tuple)])
+            borrowed = [{b["place"]: b["ids"] for b in row or ()} for row in batch.column("borrowed").to_pylist()]
+            spans = iter(_spans_of([t for t, known in zip(texts, borrowed, strict=True) if known]))
+            plans = [_parts(t, next(spans), known) if known else [(0, len(t))] for t, known in zip(texts, borrowed, strict=True)]
+            encoded = iter(coder.encode([t[slice(*p)] for t, plan in zip(texts, plans, strict=True) for p in plan if isinstance(p, tuple)]))
             keys, ids, decoded, held = [], [], [], 0
-            for key, text, plan, known in zip(batch.column("text_key").to_pylist(), texts, plans, borrowed, strict=True):
-                pairs = [known[p] if isinstance(p, int) else (coder.encode(text[slice(*p)]), coder.decode(text[slice(*p)])) for p in plan]
+            for key, plan, known in zip(batch.column("text_key").to_pylist(), plans, borrowed, strict=True):
+                parts = [np.frombuffer(known[p], "<u4") if isinstance(p, int) else next(encoded) for p in plan]
+                whole = np.concatenate(parts) if parts else np.empty(0, np.uint32)
                 keys.append(key)
-                ids.append(b"".join(p[0] for p in pairs))
-                decoded.append(b" ".join(p[1] for p in pairs if p[1]))
+                ids.append(whole.astype("<u4").tobytes())
+                decoded.append(coder.decode(whole))
                 held += len(ids[-1]) + len(decoded[-1])
                 if held > BATCH_BYTES:
                     yield _encoded(keys, ids, decoded)
@@ -252,9 +289,9 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
         F.min(F.struct("text_key", "place")).alias("owner"), F.count(F.lit(1)).alias("n"),
     ).filter("n > 1")
     owners = shared.groupBy(F.col("owner.text_key").alias("text_key")).agg(F.collect_list("owner.place").alias("places"))
-    published = packed.join(owners, "text_key").mapInArrow(_publisher(tokenizer), "core binary, ids binary, decoded binary")
+    published = packed.join(owners, "text_key").mapInArrow(_publisher(tokenizer), "core binary, ids binary")
     borrowed = cores.join(published, "core").groupBy("text_key").agg(
-        F.collect_list(F.struct("place", "ids", "decoded")).alias("borrowed"),
+        F.collect_list(F.struct("place", "ids")).alias("borrowed"),
     )
     return packed.join(borrowed, "text_key", "left").mapInArrow(_assembler(tokenizer), "text_key binary, ids binary, decoded binary")
 
