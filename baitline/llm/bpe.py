@@ -32,7 +32,7 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
 #: Words whose ids a worker remembers; when there are more, it starts over.
-REMEMBERED_WORDS = 1_200_000
+REMEMBERED_WORDS = 500_000
 #: Texts are encoded in runs of about so many bytes.
 ENCODED_BYTES = 3 << 20
 #: A word of its own that marks the ends of words encoded in one call.

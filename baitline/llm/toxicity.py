@@ -54,7 +54,7 @@ def _eight(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def word_buckets(run: Words) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows (n, 3) of a run's words, and their hashes without closing punctuation."""
     if not len(run.starts):
-        return np.empty((0, 1 + len(PREFIXES)), np.int64), np.empty(0, np.uint64)
+        return np.empty((0, 1 + len(PREFIXES)), np.uint16), np.empty(0, np.uint64)
     ends = run.ends.copy()
     for _ in range(3):
         ends -= _CLOSING[run.data[ends - 1]] & (ends - 1 > run.starts)
@@ -65,7 +65,7 @@ def word_buckets(run: Words) -> tuple[np.ndarray, np.ndarray]:
     columns = [whole]
     for p in PREFIXES:
         columns.append(mix((head & np.uint64((1 << 8 * p) - 1)) + np.uint64(p << 56)))
-    return np.stack([(c % np.uint64(BUCKETS)).astype(np.int64) for c in columns], axis=1), whole
+    return np.stack([(c % np.uint64(BUCKETS)).astype(np.uint16) for c in columns], axis=1), whole
 
 
 def _function_table() -> np.ndarray:
@@ -206,7 +206,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Classifier:
     ids: list[np.ndarray] = []
     for run in runs(texts):
         rows = word_buckets(run)[0]
-        ids += [rows[run.first[i]:run.first[i + 1]] for i in range(len(run.counts))]
+        ids += [rows[run.first[i]:run.first[i + 1]].copy() for i in range(len(run.counts))]
     y = toxic.astype(np.float32)
     hold = np.arange(len(y)) % CALIBRATION == 0
     if len(set(y[~hold].tolist())) < 2:
