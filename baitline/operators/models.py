@@ -41,6 +41,7 @@ NGRAM_SIZES = (2, 3, 4, 5)
 MIN_DOCUMENTS = 3
 HOST_C = 3.0
 SEED = 42
+ROWS_PER_PARTITION = 20_000
 ABLATION_SETS = {
     "ALL_FEATURES": [],
     "NO_HTTPS": ["has_https"],
@@ -73,6 +74,11 @@ def held(*tables: DataFrame) -> Iterator[list[DataFrame]]:
             t.unpersist()
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (kept) in partitions of about ROWS_PER_PARTITION, since every step of a fit runs a task for each."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION)))
+
+
 def _with_vector(classifier: Estimator, features: list[str], scale: bool) -> Pipeline:
     stages: list[Estimator] = [VectorAssembler(inputCols=features, outputCol="raw_vector", handleInvalid="keep")]
     if scale:
@@ -89,7 +95,7 @@ def train_logreg(df: DataFrame, features: list[str] | None = None, scale: bool =
     """Balanced logistic regression with an L2 penalty of strength 1 / c per training row."""
     names = features or FEATURE_NAMES
     with held(df.select(*names, "label")) as (rows,):
-        weighted, n = balanced_weights(rows)
+        weighted, n = balanced_weights(_packed(rows))
         classifier = LogisticRegression(
             **_COMMON, weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False
         )
@@ -101,7 +107,7 @@ def train_forest(df: DataFrame, features: list[str] | None = None, **options) ->
     classifier = RandomForestClassifier(**_COMMON, weightCol="weight", seed=SEED, **{**FOREST, **options})
     names = features or FEATURE_NAMES
     with held(df.select(*names, "label")) as (rows,):
-        return _with_vector(classifier, names, False).fit(balanced_weights(rows)[0])
+        return _with_vector(classifier, names, False).fit(balanced_weights(_packed(rows))[0])
 
 
 def train_boosted(df: DataFrame, features: list[str] | None = None, **options) -> PipelineModel:
@@ -109,7 +115,7 @@ def train_boosted(df: DataFrame, features: list[str] | None = None, **options) -
     classifier = GBTClassifier(**_COMMON, seed=SEED, **{**BOOSTED, **options})
     names = features or FEATURE_NAMES
     with held(df.select(*names, "label")) as (rows,):
-        return _with_vector(classifier, names, False).fit(rows)
+        return _with_vector(classifier, names, False).fit(_packed(rows))
 
 
 Trainer = Callable[[DataFrame, list[str]], PipelineModel]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -575,75 +576,110 @@ def risk_by_domain(spark, folder):
 
 # --- models -----------------------------------------------------------------------------------
 
-# Sizes that keep a check run short; the library defaults are the published ones.
-SMALL = {
-    "Logistic Regression": lambda df, f: models.train_logreg(df, f, scale=True, max_iter=50),
-    "Random Forest": lambda df, f: models.train_forest(df, f, numTrees=20, maxDepth=6),
-    "Boosted Trees": lambda df, f: models.train_boosted(df, f, maxIter=10, maxDepth=4),
-}
-
-
 def _split_rows(spark, folder):
     rows = splits.hashed_group_split(i.training_rows(spark, folder), "host")
     return tuple(rows.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
 
-def _scored(spark, folder, name):
-    train, validation, _ = _split_rows(spark, folder)
-    model = SMALL[name](train, FEATURE_NAMES)
-    return models.score_urls(validation, model).select("url", "label", "available", "prediction", "probability", "score")
+@lru_cache(maxsize=8)
+def _fitted(application, folder, name):
+    """A published model fitted on a folder's training split, once for all queries of an application that apply it."""
+    spark = SparkSession.active()
+    return models.TRAINERS[name](_split_rows(spark, folder)[0], FEATURE_NAMES)
+
+
+def _model(spark, folder, name):
+    return _fitted(spark.sparkContext.applicationId, folder, name)
+
+
+def _sound(scored):
+    """What must hold for every scored row, whatever the fit: probability in range, score, class."""
+    p = F.col("probability")
+    return scored.select(
+        "*", F.coalesce(p.between(0.0, 1.0), ~F.col("available")).alias("in_range"),
+        F.coalesce(F.abs(F.col("score") - 100.0 * p) < 1e-9, ~F.col("available")).alias("score_agrees"),
+        F.coalesce(F.col("prediction") == F.when(p > 0.5, 1).otherwise(0), ~F.col("available")).alias("class_agrees"),
+    )
+
+
+def _scored(spark, folder, name, auc):
+    _, validation, _ = _split_rows(spark, folder)
+    scored = models.score_urls(validation, _model(spark, folder, name)).persist()
+    reached = metrics.roc_auc(scored).first()["roc_auc"]
+    return _sound(scored).select(
+        "url", "label", "available", "in_range", "score_agrees", "class_agrees", F.lit(reached > auc).alias("auc_reached"),
+    )
 
 
 @query
 def train_logreg(spark, folder):
-    return _scored(spark, folder, "Logistic Regression")
+    return _scored(spark, folder, "Logistic Regression", 0.8)
 
 
 @query
 def train_forest(spark, folder):
-    return _scored(spark, folder, "Random Forest")
+    return _scored(spark, folder, "Random Forest", 0.9)
 
 
 @query
 def train_boosted(spark, folder):
-    return _scored(spark, folder, "Boosted Trees")
+    return _scored(spark, folder, "Boosted Trees", 0.9)
 
 
 @query
 def train_hostname_model(spark, folder):
     train, validation, _ = _split_rows(spark, folder)
-    model = models.train_hostname_model(train, max_iter=50)
-    return model.score(validation.withColumn("host", ur.textual_host(F.col("url")))).select("url", "label", "host", "prediction", "probability")
+    model = models.train_hostname_model(train)
+    scored = model.score(validation.withColumn("host", ur.textual_host(F.col("url")))).withColumn("score", F.col("probability") * 100.0)
+    return _sound(scored).select("url", "label", "host", "available", "in_range", "class_agrees")
 
 
 @query
 def select_and_refit(spark, folder):
-    return models.select_and_refit(*_split_rows(spark, folder), trainers=SMALL)[1]
+    rows = models.select_and_refit(*_split_rows(spark, folder))[1]
+    best = rows.where("stage = 'validation'").agg(F.max_by("model", "f1")).first()[0]
+    measures = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+    sound = F.forall(F.array(*measures), lambda m: m.between(0.0, 1.0))
+    return rows.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n_models"), F.bool_and(sound).alias("in_range"),
+        F.bool_and((F.col("stage") == "validation") | (F.col("model") == best)).alias("best_is_tested"),
+        F.sum(F.col("true_negative") + F.col("false_positive") + F.col("false_negative") + F.col("true_positive")).alias("n_judged"),
+    )
 
 
 @query
 def ablation(spark, folder):
     train, validation, _ = _split_rows(spark, folder)
-    few = {k: SMALL[k] for k in ("Logistic Regression", "Random Forest")}
-    return models.ablation(train, validation, few)
+    rows = models.ablation(train, validation)
+    return rows.groupBy("feature_set").agg(
+        F.countDistinct("model").alias("n_models"), F.bool_and(F.col("f1").between(0.0, 1.0) & F.col("roc_auc").between(0.0, 1.0)).alias("in_range"),
+    )
 
 
 @query
 def score_urls(spark, folder):
-    train, _, test = _split_rows(spark, folder)
+    _, _, test = _split_rows(spark, folder)
     broken = test.withColumn("url_entropy", F.when(F.col("page_id") % 10 != 0, F.col("url_entropy")))
-    return models.score_urls(broken, SMALL["Random Forest"](train, FEATURE_NAMES)).select("url", "available", "prediction", "probability", "score")
+    return _sound(models.score_urls(broken, _model(spark, folder, "Random Forest"))).select(
+        "url", "available", "in_range", "score_agrees", "class_agrees", F.col("probability").isNull().alias("unanswered"),
+    )
 
 
 @query
 def behaviour_test(spark, folder):
-    train, _, test = _split_rows(spark, folder)
-    scored = models.score_urls(test, SMALL["Random Forest"](train, FEATURE_NAMES))
+    _, _, test = _split_rows(spark, folder)
+    scored = models.score_urls(test, _model(spark, folder, "Random Forest"))
     cases = scored.select(F.concat(F.lit("variant "), F.col("variant")).alias("category"), "url", F.col("label").alias("expected"), "prediction", "probability")
-    return metrics.category_summary(models.behaviour_test(cases))
+    judged = models.behaviour_test(cases)
+    return judged.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.bool_and(F.col("correct") == (F.col("prediction") == F.col("expected"))).alias("judged_right"),
+    )
 
 
 @query
 def top_feature_importance(spark, folder):
-    train, _, _ = _split_rows(spark, folder)
-    return metrics.top_feature_importance(models.feature_importances(SMALL["Random Forest"](train, FEATURE_NAMES)))
+    top = metrics.top_feature_importance(models.feature_importances(_model(spark, folder, "Random Forest")))
+    return top.agg(
+        F.count(F.lit(1)).alias("n_features"), F.countDistinct("feature").alias("n_names"), F.min(F.col("importance") >= 0).alias("none_negative"),
+        (F.sum("importance") <= 1.0 + 1e-9).alias("at_most_one"),
+    )

