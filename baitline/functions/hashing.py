@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from baitline.functions.urls import strip
+
 HASH_SPACE = 1 << 32
 
 
@@ -25,5 +27,5 @@ def unit_interval(digest: Column) -> Column:
 
 
 def intel_key(url: Column) -> Column:
-    """Lookup key of threat reports: sha-256 of the trimmed, lower-cased URL."""
-    return F.sha2(F.lower(F.trim(url)), 256)
+    """Lookup key of threat reports: sha-256 of the lower-cased URL without white space around it."""
+    return F.sha2(F.lower(strip(url)), 256)

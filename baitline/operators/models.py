@@ -80,7 +80,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _with_vector(classifier: Estimator, features: list[str], scale: bool) -> Pipeline:
-    stages: list[Estimator] = [VectorAssembler(inputCols=features, outputCol="raw_vector", handleInvalid="keep")]
+    stages: list[Estimator] = [VectorAssembler(inputCols=features, outputCol="raw_vector", handleInvalid="error")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True))
     else:
