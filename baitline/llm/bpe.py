@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baitline.functions.shipping import ship_with_tasks
+from baitline.llm.tables import bounded_batches
 from baitline.llm.words import RUN_BYTES, buffers, mix, runs
 from baitline.llm.worker import worker_state
 
@@ -32,9 +33,11 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
 #: Words whose ids a worker remembers; when there are more, it starts over.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 #: Texts are encoded in runs of about so many bytes.
-ENCODED_BYTES = 3 << 20
+ENCODED_BYTES = 2_000_000
+#: New words that one call to the tokenizer takes.
+LEARNED_WORDS = 10_000
 #: A word of its own that marks the ends of words encoded in one call.
 MARK = "\x01"
 BATCH_BYTES = 8 << 20
@@ -88,8 +91,10 @@ class WordCoder:
             groups[0 if t.isalpha() else 2 if odd(t) else 1].append(i)
         found: list[np.ndarray] = [self.flat] * len(texts)
         for group in groups:
-            for i, ids in zip(group, self._learned([texts[i] for i in group]) if group else [], strict=True):
-                found[i] = ids
+            for k in range(0, len(group), LEARNED_WORDS):
+                part = group[k:k + LEARNED_WORDS]
+                for i, ids in zip(part, self._learned([texts[i] for i in part]), strict=True):
+                    found[i] = ids
         places = len(self.first) - 1 + np.arange(len(texts))
         self.known.update(zip(hashes, places.tolist(), strict=True))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
@@ -281,6 +286,7 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     whose tokens never span white space and which drops it, decoded by joining tokens with
     spaces. Empty texts have no ids. A text must fit a task; nothing else must.
     """
+    bounded_batches(docs.sparkSession)
     body = F.coalesce("text", F.lit(""))
     rows = docs.select(text_key(F.col("text")).alias("text_key"), body.alias("text"))
     packed = rows.mapInArrow(_pack, _schema(text_key=T.BinaryType(), packed=T.BinaryType())).groupBy("text_key").agg(F.first("packed").alias("packed"))

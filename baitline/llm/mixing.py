@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.lm import held_out
-from baitline.llm.tables import written
+from baitline.llm.tables import bounded_batches, written
 from baitline.llm.words import Words, runs
 
 ship_with_tasks(__name__)
@@ -120,6 +120,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fit on at most SAMPLE_ROWS documents of each domain; shares come from all labels."""
+    bounded_batches(docs.sparkSession)
     known = domain_labels(labels)
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, sum(counts.values()))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.components import components
-from baitline.llm.tables import written
+from baitline.llm.tables import bounded_batches, written
 from baitline.llm.words import mix, runs
 
 ship_with_tasks(__name__)
@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     bears it. A null doc_id is linked with nothing and kept, with a null component_id.
     Other columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     rows = written(sketches(docs, rule.words), "sketches")
     usable = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     sets = written(

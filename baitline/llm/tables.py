@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from baitline.session import CHECKPOINT_CONF, ensure_checkpoint_dir
 
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of 16 MB at most, unless the session sets a size of its own."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, "16m")
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
     base = spark.conf.get(CHECKPOINT_CONF, None)
