@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.tables import bounded_batches
 from baitline.llm.words import RUN_BYTES, buffers, mix, runs
-from baitline.llm.worker import worker_state
+from baitline.llm.worker import tidy, worker_state
 
 ship_with_tasks(__name__)
 
@@ -289,17 +289,17 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     body = F.coalesce("text", F.lit(""))
     rows = docs.select(text_key(F.col("text")).alias("text_key"), body.alias("text"))
-    packed = rows.mapInArrow(_pack, _schema(text_key=T.BinaryType(), packed=T.BinaryType())).groupBy("text_key").agg(F.first("packed").alias("packed"))
-    cores = packed.mapInArrow(_cores, _schema(text_key=T.BinaryType(), place=T.IntegerType(), core=T.BinaryType()))
+    packed = rows.mapInArrow(tidy(_pack), _schema(text_key=T.BinaryType(), packed=T.BinaryType())).groupBy("text_key").agg(F.first("packed").alias("packed"))
+    cores = packed.mapInArrow(tidy(_cores), _schema(text_key=T.BinaryType(), place=T.IntegerType(), core=T.BinaryType()))
     shared = cores.groupBy("core").agg(
         F.min(F.struct("text_key", "place")).alias("owner"), F.count(F.lit(1)).alias("n"),
     ).filter("n > 1")
     owners = shared.groupBy(F.col("owner.text_key").alias("text_key")).agg(F.collect_list("owner.place").alias("places"))
-    published = packed.join(owners, "text_key").mapInArrow(_publisher(tokenizer), "core binary, ids binary")
+    published = packed.join(owners, "text_key").mapInArrow(tidy(_publisher(tokenizer)), "core binary, ids binary")
     borrowed = cores.join(published, "core").groupBy("text_key").agg(
         F.collect_list(F.struct("place", "ids")).alias("borrowed"),
     )
-    return packed.join(borrowed, "text_key", "left").mapInArrow(_assembler(tokenizer), "text_key binary, ids binary, decoded binary")
+    return packed.join(borrowed, "text_key", "left").mapInArrow(tidy(_assembler(tokenizer)), "text_key binary, ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.words import Words, mix, runs
+from baitline.llm.worker import tidy
 
 ship_with_tasks(__name__)
 
@@ -62,7 +63,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_cells(texts: DataFrame) -> DataFrame:
     """Counts of the cells over all rows of (text, target); each task sends each cell once."""
-    rows = texts.select("text", "target").mapInArrow(_count, "cell long, target_n long, all_n long")
+    rows = texts.select("text", "target").mapInArrow(tidy(_count), "cell long, target_n long, all_n long")
     return rows.groupBy("cell").agg(F.sum("target_n").alias("target_n"), F.sum("all_n").alias("all_n"))
 
 
@@ -127,7 +128,7 @@ def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, n_tokens long, target_loss double, background_loss double, score double",
+        tidy(work), "doc_id long, n_tokens long, target_loss double, background_loss double, score double",
     )
 
 

@@ -22,6 +22,7 @@ from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.lm import held_out
 from baitline.llm.tables import bounded_batches, written
 from baitline.llm.words import Words, runs
+from baitline.llm.worker import release
 
 ship_with_tasks(__name__)
 
@@ -133,7 +134,10 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not sample.num_rows:
         return _fit(pa.array([], pa.string()), np.empty(0, np.int64), shares)
-    return _fit(sample.column("text").combine_chunks(), sample.column("domain").to_numpy().astype(np.int64), shares)
+    model = _fit(sample.column("text").combine_chunks(), sample.column("domain").to_numpy().astype(np.int64), shares)
+    del sample
+    release()
+    return model
 
 
 def with_posterior(docs: DataFrame, model: Classifier, out: str) -> DataFrame:
@@ -145,6 +149,7 @@ def with_posterior(docs: DataFrame, model: Classifier, out: str) -> DataFrame:
         loaded = Classifier(**arrays.value)
         found = [loaded.posteriors(run) for run in runs(texts, lower=False)]
         p = np.concatenate(found) if found else np.empty((0, len(DOMAINS)))
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(DOMAINS), pa.int32()), pa.array(p.reshape(-1)))
 
     return docs.withColumn(out, posterior(F.coalesce("text", F.lit(""))))

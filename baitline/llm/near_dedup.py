@@ -32,6 +32,7 @@ from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.components import components
 from baitline.llm.tables import bounded_batches, written
 from baitline.llm.words import mix, runs
+from baitline.llm.worker import tidy
 
 ship_with_tasks(__name__)
 
@@ -91,7 +92,7 @@ def _sketcher(words: int) -> Callable:
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, sketch) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_sketcher(words), "doc_id long, n_shingles long, set_id binary, sketch binary")
+    return rows.mapInArrow(tidy(_sketcher(words)), "doc_id long, n_shingles long, set_id binary, sketch binary")
 
 
 def list_keys(values: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -152,7 +153,7 @@ def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         part = sets.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(part, side)
-    return pairs.mapInArrow(_estimator(percent), "a long, b long")
+    return pairs.mapInArrow(tidy(_estimator(percent)), "a long, b long")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("packed").alias(f"packed_{side}")), side)
-    return pairs.mapInArrow(_verifier(rule), "a long, b long")
+    return pairs.mapInArrow(tidy(_verifier(rule)), "a long, b long")
 
 
 def _short_pairs(members: DataFrame) -> DataFrame:
@@ -297,12 +298,12 @@ def links_between_sets(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     ``sets`` has (rep, n_shingles, sketch). A link is left out only where the same
     component is already held together by others.
     """
-    entered = sets.mapInArrow(_lister(rule.percent), "list long, rep long")
+    entered = sets.mapInArrow(tidy(_lister(rule.percent)), "list long, rep long")
     sizes = entered.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
     members = written(entered.join(sizes, "list"), "lists")
     wanted = members.select("rep").distinct()
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    packed = packed.mapInArrow(_pack, "doc_id long, packed binary")
+    packed = packed.mapInArrow(tidy(_pack), "doc_id long, packed binary")
     texts = written(packed.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").distinct(), "texts")
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     first = written(verified(estimated(stars, sets, rule.percent), texts, rule), "links")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.lm import held_out
 from baitline.llm.words import Words, mix, runs
+from baitline.llm.worker import release, tidy
 
 ship_with_tasks(__name__)
 
@@ -251,7 +252,10 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
         return fit(pa.array([], pa.string()), np.empty(0))
     shuffled = np.random.default_rng(1).permutation(sample.num_rows)
     sample = sample.take(pa.array(shuffled))
-    return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
+    model = fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
+    del sample
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -272,7 +276,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             predicted = pa.array((out >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), predicted], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(work), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -284,6 +288,7 @@ def without_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
         loaded, table = Classifier(**arrays.value), _function_table()
         out = [loaded.logits(run, table) for run in runs(texts)]
         below = [z < loaded.thresholds[language] for z, language in out]
+        release()
         return pa.array(np.concatenate(below) if below else np.empty(0, bool))
 
     return docs.filter(clean(F.coalesce("text", F.lit(""))))

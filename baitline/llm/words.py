@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from baitline.functions.shipping import ship_with_tasks
+from baitline.llm.worker import worker_state
 
 ship_with_tasks(__name__)
 
@@ -23,7 +24,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+    kept: dict[str, np.ndarray] = worker_state("powers", dict)
+    if len(kept.get("up", ())) < n:
         size = 1 << max(20, (n - 1).bit_length())
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             factors = np.full(size, base, dtype=np.uint64)
             factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            kept[name] = np.cumprod(factors)
+    return kept["up"][:n], kept["down"][:n]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

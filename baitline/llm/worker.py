@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import pyarrow as pa
+
 from baitline.functions.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -20,3 +25,24 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if not hasattr(kept, name):
         setattr(kept, name, make())
     return getattr(kept, name)
+
+
+def release() -> None:
+    """Give back memory that a task no longer uses; its worker waits for the next task, beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, releasing memory when its task ends."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
