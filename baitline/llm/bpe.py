@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.tables import bounded_batches
 from baitline.llm.words import RUN_BYTES, buffers, mix, runs
-from baitline.llm.worker import tidy, worker_state
+from baitline.llm.worker import tidy
 
 ship_with_tasks(__name__)
 
@@ -32,7 +32,7 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 #: White space at which every supported tokenizer ends a token.
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
-#: Words whose ids a worker remembers; when there are more, it starts over.
+#: Words whose ids a task remembers; when there are more, it starts over.
 REMEMBERED_WORDS = 300_000
 #: Texts are encoded in runs of about so many bytes.
 ENCODED_BYTES = 2_000_000
@@ -132,10 +132,6 @@ class WordCoder:
         return b" ".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-def _coder(path: str) -> WordCoder:
-    return worker_state(f"coder {path}", lambda: WordCoder(path))
-
-
 def cut_points(texts: pa.Array) -> Iterator[list[int]]:
     """For each text the byte offsets between its chunks, 0 and the length included."""
     data, offsets = buffers(texts)
@@ -216,7 +212,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _publisher(path: str) -> Callable:
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
+        coder = WordCoder(path)
         for batch in _slices(batches):
             texts = _unpacked(batch, "packed")
             owned = batch.column("places").to_pylist()
@@ -242,7 +238,7 @@ def _parts(text: bytes, spans: list[tuple[int, int]], known: dict[int, bytes]) -
 
 def _assembler(path: str) -> Callable:
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
+        coder = WordCoder(path)
         for batch in _slices(batches):
             texts = _unpacked(batch, "packed")
             borrowed = [{b["place"]: b["ids"] for b in row or ()} for row in batch.column("borrowed").to_pylist()]
