@@ -1,6 +1,7 @@
 """Cross-entropy difference against counting word by word."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -84,3 +85,36 @@ def test_good_documents_score_lower(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm.cross_entropy_difference(none, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def exact_losses(docs, target):
+    """Mean losses under models that count the words themselves."""
+    spread = lambda t: list(zip([None, *lowered(t)], lowered(t)))  # noqa: B905, E731
+    counts = [[Counter(k(x) for _, t in chosen for x in spread(t)) for k in (lambda x: x[1], lambda x: x[0], lambda x: x)] for chosen in (target, docs)]
+    size = max(lm.VOCABULARY, len(counts[1][0]))
+    mass = sum(counts[0][0].values())
+    out = {}
+    for doc_id, text in docs:
+        means = []
+        for word, history, pair in counts:
+            scale = mass / max(1, sum(word.values()))
+            p = lambda x: (pair[x] * scale + lm.BIGRAM_PRIOR * (word[x[1]] * scale + lm.UNIGRAM_PRIOR) / (mass + lm.UNIGRAM_PRIOR * size)) / (history[x[0]] * scale + lm.BIGRAM_PRIOR)  # noqa: B023, E731
+            means.append(sum(-math.log(p(x)) for x in spread(text)) / max(1, len(spread(text))))
+        out[doc_id] = means
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [50_000, 1 << 24])
+def test_many_words_share_nothing(spark, chunk_bytes):
+    """More words than classes of 16 bits, more pairs than 20 bits: no word or pair takes another's counts."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{min(int(rng.paretovariate(0.25)), 10**9)}" for _ in range(2000))) for i in range(700)]
+    good = [i for i in range(0, 700, 3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = lm.score(docs, spark.createDataFrame([(i,) for i in good], "good_id long"), chunk_bytes).collect()
+    want = exact_losses(texts, [texts[i] for i in good])
+    assert len({w for _, t in texts for w in t.split()}) > 1 << 16
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    for r in got:
+        assert [r.target_loss, r.background_loss] == pytest.approx(want[r.doc_id], rel=1e-9)
+        assert min(r.target_loss, r.background_loss) > 0
