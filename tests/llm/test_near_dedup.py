@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from baitline.llm import near_dedup
@@ -79,3 +80,16 @@ def test_pipeline_form_keeps_columns_and_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (None, "a b c d e f", "z"), (4, None, "w")], "doc_id long, text string, kept string")
     rows = near_dedup.without_near_copies(docs).collect()
     assert sorted((str(r.doc_id), r.kept) for r in rows) == [("1", "x"), ("4", "w"), ("None", "z")]
+
+
+def test_low_estimates_are_verified(spark):
+    """Near texts whose union sketch shares 24 of 48 values: the exact sets decide."""
+    words = [f"word{i}" for i in range(3000)]
+    hashes = [int(next(near_dedup.shingle_sets(pa.array([w]), 1))[0]) for w in words]
+    ranked = [w for _, w in sorted(zip(hashes, words, strict=True))]
+    common = ranked[24:624]
+    rows = [(1, " ".join([*ranked[0:24:2], *common])), (2, " ".join([*ranked[1:24:2], *common])), (3, " ".join(ranked[700:1300]))]
+    lows = [next(near_dedup.shingle_sets(pa.array([t]), 1))[:near_dedup.SKETCH] for _, t in rows[:2]]
+    assert near_dedup.union_estimate(*lows) == 0.5
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Rule(1, 80)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3}
