@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.functions.urls import with_url_parts
+from baitline.operators.cleaning import SCHEMES
 from baitline.operators.features import url_features
 from baitline.operators.intel import enrich_threat_intel, threat_report_from_verdicts
 from baitline.operators.risk import assess
@@ -34,17 +35,17 @@ def scored_probes(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    return threat_report_from_verdicts(t.verdicts(spark, folder))
+def reports(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
+    return threat_report_from_verdicts(t.verdicts(spark, folder, every_page))
 
 
-def scan_inputs(spark: SparkSession, folder: str) -> DataFrame:
+def scan_inputs(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
     """Everything the fusion step needs, one row per probe."""
-    return enrich_threat_intel(scored_probes(spark, folder), reports(spark, folder), url_col="page_url")
+    return enrich_threat_intel(scored_probes(spark, folder), reports(spark, folder, every_page), url_col="page_url")
 
 
-def assessed_probes(spark: SparkSession, folder: str) -> DataFrame:
-    return assess(scan_inputs(spark, folder))
+def assessed_probes(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
+    return assess(scan_inputs(spark, folder, every_page))
 
 
 def assessed_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,19 +53,28 @@ def assessed_pages(spark: SparkSession, folder: str) -> DataFrame:
     return assess(scan_inputs(spark, folder).where("variant = 0"))
 
 
-def scan_log(spark: SparkSession, folder: str) -> DataFrame:
-    """One scan per event: request, page assessment, duration; every third is a cache hit."""
+def scan_events(spark: SparkSession, folder: str) -> DataFrame:
     n = t.page_count(spark, folder)
-    requests = t.read(spark, folder, "events").select(
+    return t.read(spark, folder, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("scan_duration_ms"),
         (F.col("event_id") % n).alias("page_id"), (F.col("event_id") % 3 == 0).alias("cache_hit"),
+        (F.floor(F.col("event_id") / n) % t.N_PROBES).cast("int").alias("variant"),
     )
-    return requests.join(assessed_pages(spark, folder), "page_id")
+
+
+def scan_log(spark: SparkSession, folder: str) -> DataFrame:
+    """One scan per event: request, page assessment, duration; every third is a cache hit."""
+    return scan_events(spark, folder).drop("variant").join(assessed_pages(spark, folder), "page_id")
+
+
+def scan_log_every_variant(spark: SparkSession, folder: str) -> DataFrame:
+    """The scan log where events ask for all probes of a page in turn; what cannot be normalised has no scan."""
+    return scan_events(spark, folder).join(assessed_probes(spark, folder, every_page=True), ["page_id", "variant"])
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """url, label, category, features of the normal probes."""
-    rows = normal_probes(spark, folder).where("variant <> 13").select(
+    """url, label, category, features of the normal probes of an accepted scheme."""
+    rows = normal_probes(spark, folder).where(F.col("scheme").isin(SCHEMES)).select(
         "page_id", "variant", F.col("normalized_url").alias("url"),
         F.col("variant").isin(PHISHING_VARIANTS).cast("int").alias("label"),
     )

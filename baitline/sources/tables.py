@@ -94,10 +94,11 @@ def scan_requests(spark: SparkSession, folder: str) -> DataFrame:
     return events.join(urls(spark, folder), "page_id")
 
 
-def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+def verdicts(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
     """url, engine, verdict: events read as engine verdicts on pages.
 
-    A quarter of the pages has none, and pages differ in how harsh their engines are.
+    Pages differ in how harsh their engines are. A quarter of them has none, unless
+    ``every_page`` leaves that to the events.
     """
     n = page_count(spark, folder)
     kind = F.col("page_id") % 4
@@ -111,7 +112,7 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     events = read(spark, folder, "events").select(
         "event_type", "value", (F.col("event_id") % n).alias("page_id"), F.col("user_id").alias("engine")
     )
-    return events.where(kind != 3).join(urls(spark, folder), "page_id").select("url", "engine", mapped.alias("verdict"))
+    return (events if every_page else events.where(kind != 3)).join(urls(spark, folder), "page_id").select("url", "engine", mapped.alias("verdict"))
 
 
 def pseudo_probability(url: Column, model: str) -> Column:
