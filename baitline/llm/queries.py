@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitline.llm import archive, bpe, chats, exact_search, lm, mixing, near_dedup, near_search, shards, toxicity
+from baitline.llm import (
+    archive, bpe, chats, exact_search, lm, mixing, near_dedup, near_search, resampling, shards, substring_dedup, toxicity, vector_codes,
+)
 from baitline.llm.tables import table
 
 #: The tree of op3: 2 regions of 2 racks of 4 shards.
@@ -74,6 +76,20 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(exact_search.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector_codes.whole_components(F.col("embedding")).alias("vector"), "label")
+    return vector_codes.compress(vectors, parts=8, entries=16, rounds=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -85,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_cross_entropy_difference": op10_cross_entropy_difference,
+    "op11_suffix_automata": op11_suffix_automata,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_orchard_codes": op13_orchard_codes,
 }

@@ -1,11 +1,13 @@
 """Words of UTF-8 texts as 64-bit hashes, found for a whole Arrow batch at once.
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Its hash
-is a polynomial of its bytes modulo 2**64, read off prefix sums, and then mixed.
+takes in eight bytes at a time, each block mixed with what came before; words of more than
+LONG_WORD bytes are hashed by BLAKE2b. Nothing is kept between calls.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,17 +15,18 @@ import numpy as np
 import pyarrow as pa
 
 from baitline.functions.shipping import ship_with_tasks
-from baitline.llm.worker import worker_state
 
 ship_with_tasks(__name__)
 
 #: Texts are worked on in runs of about so many bytes; one longer text makes a run of its own.
 RUN_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+WHITE_SPACE = np.zeros(256, dtype=bool)
+WHITE_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,16 +38,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    kept: dict[str, np.ndarray] = worker_state("powers", dict)
-    if len(kept.get("up", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            factors = np.full(size, base, dtype=np.uint64)
-            factors[0] = 1
-            kept[name] = np.cumprod(factors)
-    return kept["up"][:n], kept["down"][:n]
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes between each start and end."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _STEP)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left, at, rows = size, start, np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(rows):
+        rest = np.minimum(left[rows] - done, 8).astype(np.uint64)
+        block = eight[at[rows] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+        out[rows] = mix((out[rows] ^ mix(block + _STEP)) * _STEP)
+        done += 8
+        rows = rows[left[rows] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,29 +89,26 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, row: int, lower: bool) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, row: int, lower: bool, breaks: np.ndarray) -> Words:
     n = len(data)
     body = _LOWER[data] if lower else data
     inside = np.zeros(n + 2, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[body], out=inside[1:-1])
     starts, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = offsets[(offsets > 0) & (offsets < n)]
     starts[cuts] = inside[cuts + 1]
     ends[cuts - 1] = inside[cuts]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    hashes = hash_spans(body, start, end)
     return Words(row, hashes, np.searchsorted(start, offsets), body, start, end)
 
 
-def runs(texts: pa.Array, lower: bool = True, run_bytes: int = RUN_BYTES) -> Iterator[Words]:
-    """The words of all texts, run by run."""
+def runs(texts: pa.Array, lower: bool = True, run_bytes: int = RUN_BYTES, breaks: np.ndarray = WHITE_SPACE) -> Iterator[Words]:
+    """The words of all texts, run by run; ``breaks`` marks the bytes between words, after A-Z are lower-cased if ``lower`` is set."""
     data, offsets = buffers(texts)
     row = 0
     while row < len(offsets) - 1:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + run_bytes, side="right")) - 1)
         at = offsets[row:stop + 1]
-        yield _words(data[at[0]:at[-1]], at - at[0], row, lower)
+        yield _words(data[at[0]:at[-1]], at - at[0], row, lower, breaks)
         row = stop

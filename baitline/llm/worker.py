@@ -1,4 +1,4 @@
-"""State that a Python worker keeps between tasks."""
+"""What a Python worker does when a task ends."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import functools
 import gc
 import sys
 from collections.abc import Callable, Iterator
-from types import ModuleType
 
 import pyarrow as pa
 
@@ -16,17 +15,6 @@ from baitline.functions.shipping import ship_with_tasks
 ship_with_tasks(__name__)
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """The object of that name in this process, made on first use.
-
-    Task code is shipped by value, so its own module variables start anew with each task.
-    """
-    kept = sys.modules.setdefault("baitline_worker_state", ModuleType("baitline_worker_state"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
-
-
 def release() -> None:
     """Give back memory that a task no longer uses; its worker waits for the next task, beside others."""
     gc.collect()
