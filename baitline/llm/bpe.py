@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.tables import bounded_batches
-from baitline.llm.words import RUN_BYTES, buffers, mix, runs
+from baitline.llm.words import RUN_BYTES, Words, buffers, equal_spans, mix, runs
 from baitline.llm.worker import tidy
 
 ship_with_tasks(__name__)
@@ -62,7 +62,8 @@ class WordCoder:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.first, self.heads = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.uint64)
+        self.flat, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.spelled, self.letters = np.empty(0, np.uint8), np.zeros(1, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -83,8 +84,9 @@ class WordCoder:
                 return [parts[0], *[p[1:] for p in parts[1:]]]
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, texts: list[str], hashes: list[int], heads: np.ndarray) -> np.ndarray:
+    def _learn(self, words: list[bytes], hashes: list[int]) -> np.ndarray:
         """Remember new words; returns their places."""
+        texts = [w.decode() for w in words]
         odd = lambda t: "<|" in t or MARK in t
         groups = [[], [], []]
         for i, t in enumerate(texts):
@@ -96,11 +98,21 @@ class WordCoder:
                 for i, ids in zip(part, self._learned([texts[i] for i in part]), strict=True):
                     found[i] = ids
         places = len(self.first) - 1 + np.arange(len(texts))
-        self.known.update(zip(hashes, places.tolist(), strict=True))
+        self.known.update(zip(hashes, places.tolist(), strict=False))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
-        self.flat, self.heads = np.concatenate([self.flat, *found]), np.concatenate([self.heads, heads])
+        self.flat = np.concatenate([self.flat, *found])
+        self.letters = np.concatenate([self.letters, self.letters[-1] + np.cumsum([len(w) for w in words])])
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(words), np.uint8)])
         return places
 
+    def _unlike(self, run: Words, place: np.ndarray) -> np.ndarray:
+        """Words of a run whose bytes are not those remembered at their places: hashes can collide."""
+        size = run.ends - run.starts
+        like = self.letters[place + 1] - self.letters[place] == size
+        rows = np.flatnonzero(like)
+        like[rows] = equal_spans(run.data, run.starts[rows], self.spelled, self.letters[place[rows]], size[rows])
+        return np.flatnonzero(~like)
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
@@ -109,18 +121,19 @@ class WordCoder:
                 self._forget()
             hashes, at, of = np.unique(run.hashes, return_index=True, return_inverse=True)
             start, end = run.starts[at], run.ends[at]
-            heads = (end - start).astype(np.uint64) << np.uint64(56)
-            for j in range(7):
-                heads |= np.where(end - start > j, run.data[np.minimum(start + j, len(run.data) - 1)].astype(np.uint64) << np.uint64(8 * j), np.uint64(0))
-            listed = hashes.tolist()
+            listed, body = hashes.tolist(), run.data.tobytes()
             place = np.array([self.known.get(h, -1) for h in listed], dtype=np.int64)
-            # a remembered word must also agree in length and first bytes
-            new = np.flatnonzero((place < 0) | (np.append(self.heads, np.uint64(0))[place] != heads))
+            new = np.flatnonzero(place < 0)
             if len(new):
-                body = run.data.tobytes()
-                fresh = [body[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-                place[new] = self._learn(fresh, [listed[i] for i in new.tolist()], heads[new])
+                fresh = [body[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+                place[new] = self._learn(fresh, [listed[i] for i in new.tolist()])
             place = place[of.reshape(-1)]
+            odd = self._unlike(run, place).tolist()
+            if odd:
+                spelled = [body[run.starts[i]:run.ends[i]] for i in odd]
+                own = dict.fromkeys(spelled)
+                own = dict(zip(own, self._learn(list(own), []).tolist(), strict=True))
+                place[odd] = [own[w] for w in spelled]
             size = self.first[place + 1] - self.first[place]
             upto = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(self.first[place] - upto[:-1], size) + np.arange(upto[-1])]

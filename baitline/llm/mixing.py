@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.lm import held_out
+from baitline.llm.samples import draw, labelled
 from baitline.llm.tables import bounded_batches, written
 from baitline.llm.words import Words, runs
 from baitline.llm.worker import release
@@ -28,11 +29,13 @@ ship_with_tasks(__name__)
 
 DOMAINS = ("good", "poor", "toxic")
 BUCKETS, SHAPES = 1 << 15, 6
-#: The most labelled documents of each domain that the classifier is fitted on, in the order of a hash of their ids, and their longest text in bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 2000, 1 << 16
+#: The most labelled documents of each domain that the classifier is fitted on, in the order of a hash of their ids, and their bytes in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 48 << 20
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.3, 1e-5
-STEPS, PULL, CLOSE_ENOUGH = 40, 1e-3, 1e-5
-_UPPER, _LETTER = np.zeros(256), np.zeros(256)
+#: The most steps; the share of tokens a domain may miss its target by; by how much the total grows where the floor keeps targets out of reach.
+STEPS, CLOSE_ENOUGH, GROWTH = 40, 5e-4, 1.05
+PULL = 1e-3
+_UPPER, _LETTER = np.zeros(256, np.int32), np.zeros(256, np.int32)
 _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 
@@ -46,7 +49,7 @@ def _features(run: Words) -> tuple[np.ndarray, np.ndarray]:
     same = np.zeros(len(of))
     same[1:] = (run.hashes[1:] == run.hashes[:-1]) & (of[1:] == of[:-1])
     size = (run.ends - run.starts).astype(float)
-    upper, letters = (np.concatenate([[0], np.cumsum(t[run.data])]) for t in (_UPPER, _LETTER))
+    upper, letters = (np.concatenate([[0], np.cumsum(t[run.data], dtype=np.int64 if len(run.data) >> 31 else np.int32)]) for t in (_UPPER, _LETTER))
     total = lambda x: np.bincount(of, weights=x, minlength=n)
     chars = np.maximum(total(size), 1)
     shapes = np.stack([
@@ -120,21 +123,18 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Fit on at most SAMPLE_ROWS documents of each domain; shares come from all labels."""
+    """Fit on at most SAMPLE_ROWS documents of each domain and SAMPLE_BYTES of text; shares come from all labels of these documents."""
     bounded_batches(docs.sparkSession)
-    known = domain_labels(labels)
-    counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = labelled(docs, domain_labels(labels).withColumnRenamed("domain", "label"))
+    counts = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, sum(counts.values()))
     shares = np.array([counts.get(k, 0) / total for k in range(len(DOMAINS))]) if counts else np.full(len(DOMAINS), 1 / len(DOMAINS))
-    chosen = None
-    for k in range(len(DOMAINS)):
-        part = known.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # as many rows and bytes as the sample's limits allow, whatever the tables hold
+    sample = draw(docs, found, {k: SAMPLE_ROWS for k in range(len(DOMAINS))}, SAMPLE_BYTES).toArrow().combine_chunks()
     if not sample.num_rows:
         return _fit(pa.array([], pa.string()), np.empty(0, np.int64), shares)
-    model = _fit(sample.column("text").combine_chunks(), sample.column("domain").to_numpy().astype(np.int64), shares)
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    model = _fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy().astype(np.int64), shares)
     del sample
     release()
     return model
@@ -176,39 +176,85 @@ def rate(posterior: Column, steps: list[np.ndarray], floor: float) -> Column:
     return F.aggregate(moves, start, step)
 
 
-def fit_steps(members: DataFrame, weights: dict[str, float], floor: float = 0.0) -> list[np.ndarray]:
+@dataclass
+class Fit:
+    """Steps for ``rate``, and by domain the shares of the present tokens that were aimed at and reached."""
+
+    steps: list[np.ndarray]
+    target: np.ndarray
+    reached: np.ndarray
+
+    @property
+    def residual(self) -> float:
+        """The largest share by which a listed domain misses its part of the listed domains' tokens."""
+        listed = ~np.isnan(self.target)
+        target, reached = self.target[listed], self.reached[listed]
+        if not target.any():
+            return 0.0
+        return float(np.abs(reached / max(reached.sum(), 1e-300) - target / target.sum()).max())
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float], floor: float = 0.0, growth: float = GROWTH) -> Fit:
     """Steps whose ``rate`` brings the expected tokens of the domains in proportion to ``weights``.
 
-    Domains that ``weights`` does not list keep their tokens. Rates are at least ``floor``. With floor 0 the total of tokens stays as it is; with a
-    higher one it is the smallest total at which no domain must go below floor times its
-    tokens. Least squares are weighted by the inverse of the memberships' second moments.
+    Domains that ``weights`` does not list take what falls to them. Rates are at least ``floor``.
+    With floor 0 the total of tokens stays as it is. With a higher one it starts where no
+    domain must go below floor times its tokens; what raises one domain's tokens raises a
+    little of the others' too, so the total grows by ``growth`` each time that the steps come
+    no closer, until targets are met; with growth 1 it stays and the steps end at the least squares. Least squares are weighted by the inverse of the
+    memberships' second moments over the documents that are not held at the floor. After
+    STEPS steps the closest ones so far count; ``residual`` says what is missed, as where
+    a domain has no tokens at all.
     """
-    parts = [F.sum(F.col("n_tokens") * F.col("posterior")[k]) for k in range(len(DOMAINS))]
-    cross = [F.sum(F.col("n_tokens") * F.col("posterior")[j] * F.col("posterior")[k]) for j in range(len(DOMAINS)) for k in range(len(DOMAINS))]
-    first = members.agg(F.sum("n_tokens").alias("n"), *[p.alias(f"s{k}") for k, p in enumerate(parts)], *[c.alias(f"c{i}") for i, c in enumerate(cross)]).first()
-    total = float(first["n"] or 0)
-    if not total:
-        return []
     k = len(DOMAINS)
-    held = np.array([first[f"s{i}"] for i in range(k)]) / total
-    moment = np.array([first[f"c{i}"] for i in range(k * k)]).reshape(k, k) / total
+    tokens, posterior = F.col("n_tokens"), F.col("posterior")
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+        rated = members.withColumn("rate", rate(posterior, steps, floor))
+        free = F.when((F.col("rate") > floor) | F.lit(not steps), tokens).otherwise(0)
+        found = rated.agg(
+            F.sum("n_tokens").alias("n"), *[F.sum(tokens * F.col("rate") * posterior[i]).alias(f"s{i}") for i in range(k)],
+            *[F.sum(free * posterior[i] * posterior[j]).alias(f"c{i * k + j}") for i in range(k) for j in range(k)],
+        ).first()
+        n = float(found["n"] or 0)
+        scaled = lambda x, size: np.array([found[f"{x}{i}"] or 0.0 for i in range(size)]) / max(n, 1.0)
+        return scaled("s", k), scaled("c", k * k).reshape(k, k), n
+
+    reached, moment, n = sums([])
+    if not n:
+        return Fit([], np.zeros(k), np.zeros(k))
+    whole = moment
+    held = reached / max(1.0, floor)
     share = np.array([weights.get(d, np.nan) for d in DOMAINS])
     listed = ~np.isnan(share)
     share[listed] *= held[listed].sum() / share[listed].sum()
-    some = listed & (share > 0)
-    scale = 1.0 if floor <= 0 else max(1.0, floor * float((held[some] / share[some]).max()))
-    target, solve = np.where(listed, share * scale, held * max(1.0, floor)), np.linalg.pinv(moment, rcond=1e-6)
+    some = listed & (share > 0) & (held > 0)
+    total = 1.0 if floor <= 0 or not some.any() else max(1.0, floor * float((held[some] / share[some]).max()))
+    target = share * total
+    missed = lambda: (reached - target)[listed]
     steps: list[np.ndarray] = []
-    reached = held * max(1.0, floor)
-    for _ in range(STEPS):
-        if np.abs(reached - target).max() < CLOSE_ENOUGH:
+    best = Fit([], target, reached)
+    for _ in range(STEPS if some.any() else 0):
+        if np.abs(missed()).max() < CLOSE_ENOUGH:
             break
-        steps.append(solve @ (reached - target))
-        sums = members.withColumn("rate", rate(F.col("posterior"), steps, floor)).agg(
-            *[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)],
-        ).first()
-        reached = np.array([sums[f"s{i}"] for i in range(k)]) / total
-    return steps
+        # free documents carry the step; a tenth of the whole moment keeps it finite where few are free
+        step, inner = np.zeros(k), (moment + 0.1 * whole)[np.ix_(listed, listed)]
+        step[listed] = np.linalg.pinv(inner, rcond=1e-6) @ missed()
+        steps.append(step)
+        last = np.abs(missed()).max()
+        reached, moment, _ = sums(steps)
+        now = Fit(list(steps), target, reached)
+        if now.residual < best.residual or growth == 1:
+            best = now
+        if floor > 0 and np.abs(missed()).max() > 0.5 * last:
+            total *= growth
+            target = share * total
+    return best
+
+
+def fit_steps(members: DataFrame, weights: dict[str, float], floor: float = 0.0) -> list[np.ndarray]:
+    """Steps to the least squares at the total that ``fit_rates`` begins with."""
+    return fit_rates(members, weights, floor, growth=1.0).steps
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], floor: float = 0.0) -> DataFrame:
@@ -219,7 +265,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     labels the posteriors are even. The table of posteriors is written once.
     """
     members = written(memberships(docs, fit_on(docs, labels)), "memberships")
-    steps = fit_steps(members, weights, floor)
+    steps = fit_rates(members, weights, floor).steps
     shares = [F.col("posterior")[k].alias(d) for k, d in enumerate(DOMAINS)]
     return members.select("doc_id", "n_tokens", *shares, rate(F.col("posterior"), steps, floor).alias("rate"))
 
@@ -231,7 +277,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], floor:
     found twice, once to fit and once to apply, so that no text is shuffled.
     """
     model = fit_on(docs, labels)
-    steps = fit_steps(written(memberships(docs, model), "memberships"), weights, floor)
+    steps = fit_rates(written(memberships(docs, model), "memberships"), weights, floor).steps
     rated = with_posterior(docs, model, "__posterior")
     times = copies(rate(F.col("__posterior"), steps, floor), F.col("doc_id"))
     numbered = rated.withColumn("__copies", times).filter(F.col("__copies") > 0)

@@ -20,7 +20,7 @@ the estimate drops them with about as much again.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,8 @@ SMALL_SET = 64
 ESTIMATE_SLACK = 0.35
 #: Longer lists are compared in blocks of so many members.
 SHORT_LIST, BLOCK, PART, COLUMNS = 48, 1024, 128, 8192
+#: Words whose shingles are made together, and bytes of texts that a task unpacks at a time.
+SLICE_WORDS, UNPACKED_BYTES = 1 << 18, 4 << 20
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -57,17 +59,22 @@ class Rule:
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one, no words none."""
     for run in runs(texts):
-        h = run.hashes
-        n = len(h) - words + 1
-        grams = np.zeros(max(n, 0), dtype=np.uint64)
-        for k in range(words):
-            grams = mix(grams + h[k:k + max(n, 0)] * _FACTORS[k % len(_FACTORS)]) if n > 0 else grams
-        for a, b in zip(run.first[:-1].tolist(), run.first[1:].tolist(), strict=True):
+        found: list[list[np.ndarray]] = [[] for _ in run.counts]
+        for part, own in run.parts(SLICE_WORDS, beyond=words - 1):
+            n = max(len(part.hashes) - words + 1, 0)
+            grams = np.zeros(n, dtype=np.uint64)
+            for k in range(words if n else 0):
+                grams = mix(grams + part.hashes[k:k + n] * _FACTORS[k % len(_FACTORS)])
+            for i in np.flatnonzero(part.counts >= words).tolist():
+                low, high = int(part.first[i]), min(int(part.first[i + 1]) - words + 1, own)
+                if high > low:
+                    found[i].append(np.unique(grams[low:high]))
+        for (a, b), parts in zip(zip(run.first[:-1].tolist(), run.first[1:].tolist(), strict=True), found, strict=True):
             if b - a >= words:
-                yield np.unique(grams[a:b - words + 1])
+                yield parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
             elif b > a:
                 whole = np.uint64(b - a)
-                for value in h[a:b]:
+                for value in run.hashes[a:b]:
                     whole = mix(np.array([whole]) * _FACTORS[0] + value)[0]
                 yield np.array([whole], dtype=np.uint64)
             else:
@@ -166,23 +173,51 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
 
+def _packed_sets(packed: Iterable[bytes], words: int) -> Iterator[np.ndarray]:
+    """Shingle sets of packed texts, of which few are unpacked at a time."""
+    import zstandard
+
+    unpacker, texts, held = zstandard.ZstdDecompressor(), [], 0
+    for p in packed:
+        texts.append(unpacker.decompress(p))
+        held += len(texts[-1])
+        if held > UNPACKED_BYTES:
+            yield from shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()), words)
+            texts, held = [], 0
+    yield from shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()), words)
+
+
+def _parcels(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring rows of at most so many bytes; one larger row is a parcel of its own."""
+    low, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and held + size > most:
+            yield slice(low, i)
+            low, held = i, 0
+        held += size
+    if low < len(sizes):
+        yield slice(low, len(sizes))
+
+
+def _unpacked_sizes(packed: Iterable[bytes]) -> list[int]:
+    import zstandard
+
+    return [zstandard.frame_content_size(p) for p in packed]
+
+
 def _verifier(rule: Rule) -> Callable:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpacker = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                columns = [batch.column(c).to_pylist() for c in ("packed_a", "packed_b")]
-                distinct = list(dict.fromkeys(columns[0] + columns[1]))
-                texts = pa.array([unpacker.decompress(p) for p in distinct], pa.binary()).cast(pa.string())
-                sets = dict(zip(distinct, shingle_sets(texts, rule.words), strict=True))
-                good = []
-                for x, y in zip(*columns, strict=True):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("packed_a", "packed_b")]
+            good = []
+            for rows in _parcels(list(map(sum, zip(*map(_unpacked_sizes, columns), strict=True))), UNPACKED_BYTES):
+                pairs = list(zip(columns[0][rows], columns[1][rows], strict=True))
+                distinct = list(dict.fromkeys(p for pair in pairs for p in pair))
+                sets = dict(zip(distinct, _packed_sets(distinct, rule.words), strict=True))
+                for x, y in pairs:
                     common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     good.append(100 * common >= rule.percent * (len(sets[x]) + len(sets[y]) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return verify
 
@@ -228,9 +263,6 @@ def _block_linker(rule: Rule) -> Callable:
     """Verified links across components between two blocks of one list, as many as hold their components together."""
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        unpacker = zstandard.ZstdDecompressor()
         rows = rows.sort_values("rep")
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         right = right if len(right) else left
@@ -238,9 +270,12 @@ def _block_linker(rule: Rule) -> Callable:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         numbers = lambda part, column: [np.frombuffer(x, np.uint64) for x in part[column]]
         earlier = lambda part: [np.sort(np.array([k for k in x if k < key[0]], np.int64).astype(np.uint64)) for x in part["lists"]]
-        texts = lambda part: pa.array([unpacker.decompress(p) for p in part["packed"]], pa.binary()).cast(pa.string())
         sizes_r, comps_r, reps_r = (right[c].to_numpy() for c in ("n_shingles", "component", "rep"))
-        sketches_r, earlier_r, sets_r = numbers(right, "sketch"), earlier(right), None
+        sketches_r, earlier_r, packed_r = numbers(right, "sketch"), earlier(right), right["packed"].tolist()
+        bytes_l, bytes_r = _unpacked_sizes(left["packed"]), _unpacked_sizes(packed_r)
+        # the right side's sets are kept where all fit the budget, else made again for each part of the left
+        kept = sum(bytes_r) <= 4 * UNPACKED_BYTES
+        sets_r: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -249,8 +284,8 @@ def _block_linker(rule: Rule) -> Callable:
             return x
 
         found = []
-        for i in range(0, len(left), PART):
-            part = left.iloc[i:i + PART]
+        for at in (slice(i + p.start, i + p.stop) for i in range(0, len(left), PART) for p in _parcels(bytes_l[i:i + PART], UNPACKED_BYTES)):
+            part = left.iloc[at]
             sizes, comps, reps = (part[c].to_numpy()[:, None] for c in ("n_shingles", "component", "rep"))
             least = np.minimum(sizes, sizes_r)
             fits = (comps != comps_r) & (reps != reps_r) & (least * 100 >= rule.percent * np.maximum(sizes, sizes_r))
@@ -260,9 +295,18 @@ def _block_linker(rule: Rule) -> Callable:
             fits &= common_counts(earlier(part), earlier_r) == 0
             if not fits.any():
                 continue
-            sets_r = list(shingle_sets(texts(right), rule.words)) if sets_r is None else sets_r
-            common = common_counts(list(shingle_sets(texts(part), rule.words)), sets_r)
-            fits &= 100 * common >= rule.percent * (sizes + sizes_r - common)
+            some = np.flatnonzero(fits.any(axis=1))
+            sets_l = list(_packed_sets(part["packed"].iloc[some], rule.words))
+            wanted = np.flatnonzero(fits.any(axis=0))
+            for rows_r in _parcels([bytes_r[j] for j in wanted], UNPACKED_BYTES):
+                own = wanted[rows_r].tolist()
+                missing = [j for j in own if j not in sets_r]
+                made = dict(zip(missing, _packed_sets([packed_r[j] for j in missing], rule.words), strict=True))
+                common = common_counts(sets_l, [sets_r[j] if j in sets_r else made[j] for j in own])
+                here = np.ix_(some, own)
+                fits[here] &= 100 * common >= rule.percent * ((sizes + sizes_r)[here] - common)
+                if kept:
+                    sets_r.update(made)
             for k in np.flatnonzero(fits.any(axis=1)):
                 own = find(int(comps[k, 0]))
                 near, first = np.unique(comps_r[fits[k]], return_index=True)

@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in Arrow batches of 16 MB at most, unless the session sets a size of its own."""
+    """Hand texts to Python in Arrow batches of 4 MB at most, unless the session sets a size of its own."""
     if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_CONF, "16m")
+        spark.conf.set(BATCH_CONF, "4m")
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

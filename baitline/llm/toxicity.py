@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from baitline.functions.shipping import ship_with_tasks
 from baitline.llm.lm import held_out
+from baitline.llm.samples import draw, labelled
+from baitline.llm.tables import bounded_batches
 from baitline.llm.words import Words, mix, runs
 from baitline.llm.worker import release, tidy
 
@@ -27,8 +29,10 @@ ship_with_tasks(__name__)
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 6)
-#: The most labelled texts of each class that training takes, in the order of a hash of their ids, and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = {1: 2500, 0: 5000}, 1 << 16
+#: The most labelled texts of each class that training takes, in the order of a hash of their ids, and their bytes in all.
+SAMPLE_ROWS, SAMPLE_BYTES = {1: 2500, 0: 5000}, 48 << 20
+#: Words that are convolved together, so that a very long text is held in parts.
+SLICE_WORDS = 1 << 16
 EPOCHS, LEAST_STEPS, BATCH, RATE, CALIBRATION = 8, 700, 64, 0.1, 5
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -77,10 +81,15 @@ def _function_table() -> np.ndarray:
     return table
 
 
-def guess_languages(run: Words, whole: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Index into LANGUAGES for each text of a run: the language with most function words, else ``other``."""
+def language_votes(run: Words, whole: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many words of each text are function words of each language."""
     n, k = len(run.counts), len(LANGUAGES)
-    votes = np.bincount(run.text_of() * k + table[(whole % np.uint64(1 << 16)).astype(np.int64)], minlength=n * k).reshape(n, k)
+    return np.bincount(run.text_of() * k + table[(whole % np.uint64(1 << 16)).astype(np.int64)], minlength=n * k).reshape(n, k)
+
+
+def guess_languages(votes: np.ndarray) -> np.ndarray:
+    """Index into LANGUAGES for each text: the language with most function words, else ``other``."""
+    n, k = votes.shape
     best = votes[:, :-1].argmax(axis=1)
     return np.where(votes[np.arange(n), best] > 0, best, k - 1)
 
@@ -125,12 +134,32 @@ class Classifier:
 
     def logits(self, run: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language of each text of a run."""
-        ids, whole = word_buckets(run)
-        mapped = self.mapped[ids[:, 0]]
-        for k in range(1, ids.shape[1]):
-            mapped += self.mapped[ids[:, k]]
-        pooled = _pooled(_convolved(mapped, run.first) + self.bias, run.first)
-        return pooled @ self.weights + self.intercept, guess_languages(run, whole, table)
+        n = len(run.counts)
+        pooled, votes = np.zeros((n, len(self.bias)), self.mapped.dtype), np.zeros((n, len(LANGUAGES)), np.int64)
+        for part, own in run.parts(SLICE_WORDS, beyond=max(WIDTHS) - 1):
+            ids, whole = word_buckets(part)
+            mapped = self.mapped[ids[:, 0]]
+            for k in range(1, ids.shape[1]):
+                mapped += self.mapped[ids[:, k]]
+            # filters that begin in the words beyond belong to the next part
+            conv = _convolved(mapped, part.first)[:own]
+            conv += self.bias
+            first = np.minimum(part.first, own)
+            np.maximum(pooled, _pooled(conv, first), out=pooled)
+            kept = Words(part.row, part.hashes[:own], first, part.data, part.starts[:own], part.ends[:own])
+            votes += language_votes(kept, whole[:own], table)
+        return pooled @ self.weights + self.intercept, guess_languages(votes)
+
+
+def _strongest(ids: np.ndarray, emb: np.ndarray, filt: np.ndarray, bias: np.ndarray, pooled: np.ndarray, top: np.ndarray) -> None:
+    """Put the largest positive output of every filter over one text into ``pooled``, and where its word is into ``top``."""
+    for low in range(0, len(ids), SLICE_WORDS):
+        part = ids[low:low + SLICE_WORDS + max(WIDTHS) - 1]
+        conv = _convolved(emb[part].sum(axis=1) @ filt, np.array([0, len(part)]))[:SLICE_WORDS] + bias
+        at = conv.argmax(axis=0)
+        best = conv[at, np.arange(len(bias))]
+        higher = best > pooled
+        pooled[higher], top[higher] = best[higher], low + at[higher]
 
 
 def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
@@ -151,34 +180,27 @@ def _train(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Classifier:
         order = rng.permutation(len(ids))
         for i in range(0, len(order), BATCH):
             rows = order[i:i + BATCH]
-            first = np.concatenate([[0], np.cumsum([len(ids[r]) for r in rows])])
-            words = np.concatenate([ids[r] for r in rows])
-            vectors = emb[words].sum(axis=1)
-            conv = _convolved(vectors @ filt, first) + bias
-            pooled = _pooled(conv, first)
+            pooled, top = np.zeros((len(rows), len(bias)), np.float32), np.zeros((len(rows), len(bias)), np.int64)
+            for d, r in enumerate(rows):
+                _strongest(ids[r], emb, filt, bias, pooled[d], top[d])
             p = 1 / (1 + np.exp(-np.clip(pooled @ weights + intercept, -30, 30)))
             g = ((p - y[rows]) / len(rows)).astype(np.float32)
             back = g[:, None] * weights * (pooled > 0)
-            grad = np.zeros((len(words), wide), np.float32) if len(words) * wide < 1 << 26 else None
             hit = []
-            for d in range(len(rows)):
-                a, b = first[d], first[d + 1]
-                if a == b or not back[d].any():
-                    continue
-                top = a + conv[a:b].argmax(axis=0)
+            for d in np.flatnonzero(back.any(axis=1)):
                 for w, o, at in column:
                     f = slice((w - 1) * FILTERS, w * FILTERS)
-                    place = top[f] + o
-                    ok = place < b
-                    hit.append((place[ok], (at + np.arange(FILTERS))[ok], back[d][f][ok]))
-            if hit and grad is not None:
-                place, col, value = (np.concatenate(x) for x in zip(*hit, strict=True))
-                np.add.at(grad, (place, col), value)
-                used = np.unique(place)
-                dense = grad[used]
-                to_words = dense @ filt.T
-                filt = step(filt, vectors[used].T @ dense, 1)
-                touched, inverse = np.unique(words[used], return_inverse=True)
+                    place = top[d][f] + o
+                    ok = place < len(ids[rows[d]])
+                    hit.append((ids[rows[d]][place[ok]], (at + np.arange(FILTERS))[ok], back[d][f][ok]))
+            if hit:
+                # one row of words, filter column and gradient for each winner
+                words, col, value = (np.concatenate(x) for x in zip(*hit, strict=True))
+                vectors, to_words = emb[words].sum(axis=1), value[:, None] * filt.T[col]
+                change = np.zeros_like(filt)
+                np.add.at(change.T, col, value[:, None] * vectors)
+                filt = step(filt, change, 1)
+                touched, inverse = np.unique(words, return_inverse=True)
                 change = np.zeros((len(touched), DIMENSIONS), np.float32)
                 np.add.at(change, inverse.reshape(-1), np.repeat(to_words, words.shape[1], axis=0))
                 seen[0][touched] += (change**2).mean(axis=1)
@@ -234,20 +256,17 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Classifier:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of at most SAMPLE_ROWS labelled texts of each class, none held out, in the order of a hash of their ids."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
-    rank = F.xxhash64("doc_id")
-    chosen = None
-    for label, rows in SAMPLE_ROWS.items():
-        part = known.filter(F.col("toxic") == label).orderBy(rank, "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    """(doc_id, toxic, text) of at most SAMPLE_ROWS labelled documents of each class and SAMPLE_BYTES of text, none held out."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("toxic").cast("int").alias("label"),
+    ).filter(~held_out())
+    return draw(docs, labelled(docs, known), SAMPLE_ROWS, SAMPLE_BYTES).withColumnRenamed("label", "toxic")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Classifier:
-    sample = training_sample(docs, labels).toArrow().combine_chunks().sort_by("doc_id")
+    bounded_batches(docs.sparkSession)
+    # as many rows and bytes as the sample's limits allow, whatever the tables hold
+    sample = training_sample(docs, labels).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not sample.num_rows:
         return fit(pa.array([], pa.string()), np.empty(0))
     shuffled = np.random.default_rng(1).permutation(sample.num_rows)
@@ -263,6 +282,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     Null doc_ids stay null, repeated rows are each scored, other columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     arrays = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +301,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of ``docs`` that the model does not find toxic, with all their columns, in one pass."""
+    bounded_batches(docs.sparkSession)
     arrays = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.arrow_udf("boolean")

@@ -57,6 +57,23 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def equal_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each start in ``data`` are those from its start in ``other``."""
+    out = np.ones(len(start), dtype=bool)
+    blocks = [np.ndarray((len(d) + 1,), dtype="<u8", buffer=np.concatenate([d, np.zeros(8, np.uint8)]), strides=(1,)) for d in (data, other)]
+    rows, done = np.flatnonzero(size <= LONG_WORD), 0
+    rows = rows[size[rows] > 0]
+    while len(rows):
+        rest = np.minimum(size[rows] - done, 8).astype(np.uint64)
+        differs = blocks[0][start[rows] + done] ^ blocks[1][other_start[rows] + done]
+        out[rows] &= (differs & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))) == 0
+        done += 8
+        rows = rows[(size[rows] > done) & out[rows]]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = np.array_equal(data[start[i]:start[i] + size[i]], other[other_start[i]:other_start[i] + size[i]])
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and n + 1 offsets into them; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -88,6 +105,19 @@ class Words:
         """For each word the index of its text within the run."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def parts(self, words: int, beyond: int = 0) -> Iterator[tuple[Words, int]]:
+        """The run in parts of so many words, with up to ``beyond`` words that follow, and how many of a part are its own.
+
+        Texts keep their places; those that a part has no words of are empty in it.
+        """
+        n = len(self.hashes)
+        for low in range(0, max(n, 1), words):
+            high = min(n, low + words + beyond)
+            part = Words(
+                self.row, self.hashes[low:high], np.clip(self.first - low, 0, high - low), self.data, self.starts[low:high], self.ends[low:high],
+            )
+            yield part, min(words, n - low)
+
 
 def _words(data: np.ndarray, offsets: np.ndarray, row: int, lower: bool, breaks: np.ndarray) -> Words:
     n = len(data)
