@@ -33,14 +33,14 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
 #: Words whose ids a task remembers; when there are more, it starts over.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 #: Texts are encoded in runs of about so many bytes.
-ENCODED_BYTES = 2_000_000
+ENCODED_BYTES = 1_000_000
 #: New words that one call to the tokenizer takes.
 LEARNED_WORDS = 10_000
 #: A word of its own that marks the ends of words encoded in one call.
 MARK = "\x01"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _ROLL = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 
 
@@ -68,41 +68,45 @@ class WordCoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
-    def _learned(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each word, from as few calls as can be told apart again."""
+    def _learned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and how many each has, from as few calls as can be told apart again."""
         if all(t.isalpha() for t in texts):
             # a word of letters ends in one closing piece; if letters fall apart when normalised there are more
             ids = self._ids(" ".join(texts))
             at = np.flatnonzero(self.closing[ids]) + 1
             if len(at) == len(texts):
-                return np.split(ids, at[:-1])
+                return ids, np.diff(at, prepend=0)
         elif len(self.mark) == 1 and not any(MARK in t or "<|" in t for t in texts):
             ids = self._ids(f" {MARK} ".join(texts))
-            at = np.flatnonzero(ids == self.mark[0])
+            marks = ids == self.mark[0]
+            at = np.flatnonzero(marks)
             if len(at) == len(texts) - 1:
-                parts = np.split(ids, at)
-                return [parts[0], *[p[1:] for p in parts[1:]]]
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                return ids[~marks], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for ids in found for x in ids], dtype=np.uint32), np.array([len(x) for x in found])
 
     def _learn(self, words: list[bytes], hashes: list[int]) -> np.ndarray:
         """Remember new words; returns their places."""
+        groups: list[list[int]] = [[], [], []]
         texts = [w.decode() for w in words]
-        odd = lambda t: "<|" in t or MARK in t
-        groups = [[], [], []]
         for i, t in enumerate(texts):
-            groups[0 if t.isalpha() else 2 if odd(t) else 1].append(i)
-        found: list[np.ndarray] = [self.flat] * len(texts)
+            groups[0 if t.isalpha() else 2 if "<|" in t or MARK in t else 1].append(i)
+        places, done = np.empty(len(words), np.int64), len(self.first) - 1
+        flat, sizes, lengths, spelled = [self.flat], [], [], [self.spelled]
         for group in groups:
             for k in range(0, len(group), LEARNED_WORDS):
                 part = group[k:k + LEARNED_WORDS]
-                for i, ids in zip(part, self._learned([texts[i] for i in part]), strict=True):
-                    found[i] = ids
-        places = len(self.first) - 1 + np.arange(len(texts))
+                ids, size = self._learned([texts[i] for i in part])
+                flat.append(ids)
+                sizes.append(size)
+                lengths.append([len(words[i]) for i in part])
+                spelled.append(np.frombuffer(b"".join([words[i] for i in part]), np.uint8))
+                places[part] = np.arange(done, done + len(part))
+                done += len(part)
         self.known.update(zip(hashes, places.tolist(), strict=False))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
-        self.flat = np.concatenate([self.flat, *found])
-        self.letters = np.concatenate([self.letters, self.letters[-1] + np.cumsum([len(w) for w in words])])
-        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(words), np.uint8)])
+        upto = lambda old, new: np.concatenate([old, old[-1] + np.cumsum(np.concatenate(new))])
+        self.flat, self.first = np.concatenate(flat), upto(self.first, sizes)
+        self.spelled, self.letters = np.concatenate(spelled), upto(self.letters, lengths)
         return places
 
     def _unlike(self, run: Words, place: np.ndarray) -> np.ndarray:
@@ -191,17 +195,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["text_key", "packed"])
 
 
-def _unpacked(batch: pa.RecordBatch, column: str) -> list[bytes]:
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their unpacked texts, a few bytes at a time; one longer text is a parcel of its own."""
     import zstandard
 
     unpacker = zstandard.ZstdDecompressor()
-    return [unpacker.decompress(p.as_buffer()) for p in batch.column(column)]
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        low, texts, held = 0, [], 0
+        for i, packed in enumerate(batch.column("packed")):
+            texts.append(unpacker.decompress(packed.as_buffer()))
+            held += len(texts[-1])
+            if held >= ENCODED_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(low, len(texts)), texts
+                low, texts, held = i + 1, [], 0
 
 
 def _spans_of(texts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -210,8 +216,7 @@ def _spans_of(texts: list[bytes]) -> list[list[tuple[int, int]]]:
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        texts = _unpacked(batch, "packed")
+    for batch, texts in _parcels(batches):
         keys, places, digests = [], [], []
         for key, text, spans in zip(batch.column("text_key").to_pylist(), texts, _spans_of(texts), strict=True):
             for place, (start, end) in enumerate(spans):
@@ -226,8 +231,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _publisher(path: str) -> Callable:
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
-        for batch in _slices(batches):
-            texts = _unpacked(batch, "packed")
+        for batch, texts in _parcels(batches):
             owned = batch.column("places").to_pylist()
             cores = [t[slice(*spans[p])] for t, spans, own in zip(texts, _spans_of(texts), owned, strict=True) for p in own]
             ids = [x.astype("<u4").tobytes() for x in coder.encode(cores)]
@@ -252,8 +256,7 @@ def _parts(text: bytes, spans: list[tuple[int, int]], known: dict[int, bytes]) -
 def _assembler(path: str) -> Callable:
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
-        for batch in _slices(batches):
-            texts = _unpacked(batch, "packed")
+        for batch, texts in _parcels(batches):
             borrowed = [{b["place"]: b["ids"] for b in row or ()} for row in batch.column("borrowed").to_pylist()]
             spans = iter(_spans_of([t for t, known in zip(texts, borrowed, strict=True) if known]))
             plans = [_parts(t, next(spans), known) if known else [(0, len(t))] for t, known in zip(texts, borrowed, strict=True)]
