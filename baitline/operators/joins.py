@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baitline.functions import urls as ur
-from baitline.functions.fixed_values import BRAND_DOMAINS, RULE_TLDS
+from baitline.functions.fixed_values import BRAND_DOMAINS, JOB_TTL_SECONDS, RULE_TLDS
 from baitline.operators.features import distinct_feature_words, feature_tld
 from baitline.operators.risk import trusted_host
 from baitline.operators.rules import brand_matches, rule_word_count
+from baitline.operators.windows import job_seen_at
 
 # Fixed value: what a well-formed job id looks like.
 SCAN_ID_PATTERN = r"^[A-Za-z0-9_-]{1,128}$"
@@ -102,6 +103,27 @@ def job_status(ids: DataFrame, jobs: DataFrame, id_col: str = "scan_id") -> Data
     return joined.withColumn("status", answer).drop("_status")
 
 
+def job_status_at(
+    polls: DataFrame, changes: DataFrame, id_col: str = "scan_id", polled_at: str = "polled_at", change_id: str = "event_id",
+    seconds: float = JOB_TTL_SECONDS,
+) -> DataFrame:
+    """Answer polls at their own times: ``invalid``, ``not_found``, or the job's status with ``seen_us`` and ``url`` then.
+
+    An as-of join: what counts is the last change before the poll that the job still had,
+    and only while its lifetime lasts. Several changes with one ``change_id`` give an
+    answer each.
+    """
+    seen = job_seen_at(polls, changes, id_col, polled_at, id_col=change_id, seconds=seconds)
+    states = changes.select(F.col(change_id).cast("long").alias("_change"), F.col("status").alias("_status"), "url")
+    joined = seen.join(states, F.col("seen_id") == F.col("_change"), "left")
+    answer = (
+        F.when(~F.coalesce(F.col(id_col).rlike(SCAN_ID_PATTERN), F.lit(False)), F.lit("invalid"))
+        .when(F.col("_status").isNull(), F.lit("not_found"))
+        .otherwise(F.col("_status"))
+    )
+    return joined.withColumn("status", answer).drop("_status", "_change", "seen_id")
+
+
 def split_membership_overlap(left: DataFrame, right: DataFrame, key: str = "domain") -> DataFrame:
     """Keys present in both tables, once each (both sides are made unique first)."""
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")

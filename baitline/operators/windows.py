@@ -5,22 +5,16 @@ key covers, and lasts a fixed time. The next window opens at the first event at
 after its end, so windows are not aligned to the clock and depend on each other in
 sequence.
 
-Ordinary keys are solved by one sorted scan: rows are partitioned by key, sorted, and
-streamed through a small carry-over state. Keys with very many rows must not be
-gathered in one task; for them the chain of window starts is found with joins that
-double their reach each round, and rows then look up their window.
+All of them are ordered scans with a small carried state (see ``carry``): the open window,
+or a job's last change. Rows are cut into chunks by (key, time), which any key may span,
+so one route serves rare and hot keys alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from baitline.functions.fixed_values import (
     JOB_TTL_SECONDS,
@@ -29,14 +23,10 @@ from baitline.functions.fixed_values import (
     RESULT_TTL_SECONDS,
 )
 from baitline.functions.shipping import ship_with_tasks
-from baitline.operators.ranking import chunked_row_number
-from baitline.session import cut_lineage
+from baitline.operators.carry import Machine, carried_scan
 
 ship_with_tasks(__name__)
 
-# Keys above this many rows take the distributed route.
-HOT_KEY_ROWS = 2_000_000
-SALTS = 16
 SECOND = 1_000_000
 UNKNOWN_CLIENT = "unknown"
 
@@ -46,90 +36,32 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], key: str, at: str, width: int) -> Iterator[pa.RecordBatch]:
-    """Add window start and position to batches sorted by (key, time). Keys are never null."""
-    last_key, start, seen = None, 0, 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys, times = batch.column(key), batch.column(at).to_numpy(zero_copy_only=False)
-        changed = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
-        edges = np.concatenate(([0], np.flatnonzero(changed) + 1, [len(times)]))
-        starts, positions = np.empty(len(times), "int64"), np.empty(len(times), "int64")
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            here = keys[int(lo)].as_py()
-            open_window = last_key is not None and here == last_key
-            i = lo
-            while i < hi:
-                if not open_window or times[i] >= start + width:
-                    start, seen = int(times[i]), 0
-                    open_window = True
-                j = i + int(np.searchsorted(times[i:hi], start + width, side="left"))
-                starts[i:j] = start
-                positions[i:j] = np.arange(seen + 1, seen + 1 + (j - i))
-                seen += int(j - i)
-                i = j
-            last_key = here
-        columns = [*batch.columns, pa.array(starts), pa.array(positions)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "window_start_us", "position"])
-
-
-def _by_scan(df: DataFrame, key: str, at: str, order: list[str], width: int) -> DataFrame:
-    schema = T.StructType([
-        *df.schema.fields,
-        T.StructField("window_start_us", T.LongType()),
-        T.StructField("position", T.LongType()),
-    ])
-    arranged = df.repartition(key).sortWithinPartitions(key, at, *order)
-    return arranged.mapInArrow(lambda batches: _scan(batches, key, at, width), schema)
-
-
-def _successors(nodes: DataFrame, key: str, at: str, width: int) -> DataFrame:
-    """For each distinct (key, time) the key's first time at or after ``time + width``.
-
-    Times and look-ahead positions meet in one-second cells, so a cell holds at most a
-    million distinct times; an empty cell falls through to the next occupied one.
-    """
-    cell = lambda t: F.floor(t / SECOND)
-    data = nodes.select(key, cell(F.col(at)).alias("_cell"), F.col(at).alias("_pos"), F.lit(0).alias("_kind"),
-                        F.col(at).alias("_time"))
-    ahead = F.col(at) + width
-    probes = nodes.select(key, cell(ahead).alias("_cell"), ahead.alias("_pos"), F.lit(1).alias("_kind"),
-                          F.col(at).alias("_time"))
-    both = data.unionByName(probes)
-    later = (
-        Window.partitionBy(key, "_cell").orderBy(F.desc("_pos"), "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = both.withColumn("_next", F.min(F.when(F.col("_kind") == 0, F.col("_pos"))).over(later)).where("_kind = 1")
-    beyond = Window.partitionBy(key).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        both.groupBy(key, "_cell").agg(F.min(F.when(F.col("_kind") == 0, F.col("_pos"))).alias("_first"))
-        .withColumn("_after", F.min("_first").over(beyond)).select(key, "_cell", "_after")
-    )
-    return found.join(cells, [key, "_cell"]).select(
-        key, F.col("_time").alias("node"), F.coalesce("_next", "_after").alias("jump")
-    ).where("jump IS NOT NULL")
+def advance(times: np.ndarray, start: int | None, seen: int, width: int):
+    """Window start and position for sorted times, continuing an open window."""
+    starts, positions = np.empty(len(times), "int64"), np.empty(len(times), "int64")
+    i = 0
+    while i < len(times):
+        if start is None or times[i] >= start + width:
+            start, seen = int(times[i]), 0
+        j = i + int(np.searchsorted(times[i:], start + width, side="left"))
+        starts[i:j] = start
+        positions[i:j] = np.arange(seen + 1, seen + 1 + j - i)
+        seen += j - i
+        i = j
+    return starts, positions, start, seen
 
 
-def _chain_starts(nodes: DataFrame, key: str, at: str, width: int) -> DataFrame:
-    """Window starts per key: everything reachable from the first event.
+def _window_machine(width: int) -> Machine:
+    def machine(columns, state):
+        starts, positions, start, seen = advance(columns["at_us"], *(state or (None, 0)), width)
+        return {"window_start_us": starts, "position": positions}, [start, seen]
 
-    Round k knows the starts within 2^k steps; each round doubles the reach, so the
-    number of rounds is the logarithm of the longest chain.
-    """
-    jumps = cut_lineage(_successors(nodes, key, at, width))
-    reached = cut_lineage(nodes.groupBy(key).agg(F.min(at).alias("node")))
-    known = reached.count()
-    while True:
-        hop = reached.join(jumps, [key, "node"]).select(key, F.col("jump").alias("node"))
-        reached = cut_lineage(reached.unionByName(hop).distinct())
-        now = reached.count()
-        if now == known:
-            return reached
-        known = now
-        second = jumps.select(key, F.col("node").alias("jump"), F.col("jump").alias("_far"))
-        jumps = cut_lineage(jumps.join(second, [key, "jump"]).select(key, "node", F.col("_far").alias("jump")))
+    return machine
+
+
+def named_key(key: str) -> Column:
+    """A key as text that is never null: a null key is a key of its own."""
+    return F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
 
 
 def lookup_window(
@@ -159,36 +91,23 @@ def lookup_window(
     return salted.join(placed, match, how).drop("_key", "_cell", "_salt", "_event_cell", "_event_salt")
 
 
-def _by_doubling(df: DataFrame, key: str, at: str, order: list[str], width: int) -> DataFrame:
-    starts = _chain_starts(df.select(key, at).distinct(), key, at, width)
-    placed = lookup_window(df, starts, key, at, "node", width, "inner", SALTS)
-    numbered = chunked_row_number(placed, [key, "window_start_us"], [at, *order], "position")
-    return numbered.select(*df.columns, "window_start_us", F.col("position").cast("long").alias("position"))
-
-
 def anchored_windows(
-    df: DataFrame, key: str, ts: str, seconds: float, order: list[str], hot_key_rows: int = HOT_KEY_ROWS
+    df: DataFrame, key: str, ts: str, seconds: float, order: list[str], chunks: int | None = None
 ) -> DataFrame:
     """Append ``at_us``, ``window_start_us`` and ``position`` (1 opens the window).
 
     ``order`` breaks ties between events of one timestamp and should make rows unique.
+    Events without a time belong to no window and are left out. Times before 1970 are not
+    supported.
     """
-    width = int(seconds * SECOND)
-    # a null key is a key of its own on every route: comparisons and joins see a mark instead
-    named = F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
-    timed = df.withColumns({"at_us": micros(ts), "_named": named})
-    hot = timed.groupBy("_named").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_key_rows).select("_named")
-    hot = cut_lineage(hot)
-    if hot.isEmpty():
-        return _by_scan(timed, "_named", "at_us", order, width).drop("_named")
-    cool = _by_scan(timed.join(hot, "_named", "left_anti"), "_named", "at_us", order, width)
-    crowded = _by_doubling(timed.join(hot, "_named", "left_semi"), "_named", "at_us", order, width)
-    return cool.unionByName(crowded).drop("_named")
+    timed = df.withColumns({"at_us": micros(ts), "_named": named_key(key)}).where("at_us IS NOT NULL")
+    machine = _window_machine(int(seconds * SECOND))
+    return carried_scan(timed, "_named", ["at_us", *order], machine, ["at_us"], ["window_start_us", "position"], chunks).drop("_named")
 
 
 def rate_limit(
     df: DataFrame, client: str = "client", ts: str = "ts", order: list[str] | None = None,
-    limit: int = RATE_LIMIT, seconds: float = RATE_WINDOW_SECONDS, hot_key_rows: int = HOT_KEY_ROWS,
+    limit: int = RATE_LIMIT, seconds: float = RATE_WINDOW_SECONDS, chunks: int | None = None,
 ) -> DataFrame:
     """Append ``allowed``, ``remaining`` and ``reset_after`` (seconds) per request.
 
@@ -196,7 +115,7 @@ def rate_limit(
     """
     text = F.col(client).cast("string")
     named = df.withColumn(client, F.when(text.isNull() | (text == ""), F.lit(UNKNOWN_CLIENT)).otherwise(text))
-    placed = anchored_windows(named, client, ts, seconds, order or [], hot_key_rows)
+    placed = anchored_windows(named, client, ts, seconds, order or [], chunks)
     left = F.col("window_start_us") + int(seconds * SECOND) - F.col("at_us")
     return placed.withColumns({
         "allowed": F.col("position") <= limit,
@@ -207,13 +126,13 @@ def rate_limit(
 
 def ttl_cache_events(
     df: DataFrame, url: str = "url", ts: str = "ts", order: list[str] | None = None,
-    seconds: float = RESULT_TTL_SECONDS, hot_key_rows: int = HOT_KEY_ROWS,
+    seconds: float = RESULT_TTL_SECONDS, chunks: int | None = None,
 ) -> DataFrame:
     """Append ``cache_hit`` and the life of the stored result in microseconds.
 
     A miss stores a result at its own time; hits do not extend it.
     """
-    placed = anchored_windows(df, url, ts, seconds, order or [], hot_key_rows)
+    placed = anchored_windows(df, url, ts, seconds, order or [], chunks)
     return placed.withColumns({
         "cache_hit": F.col("position") > 1,
         "cached_from_us": F.col("window_start_us"),
@@ -258,24 +177,118 @@ def job_latest(changes: DataFrame, scan_id: str = "scan_id", at: str = "updated_
     )
 
 
-def job_expiry(changes: DataFrame, scan_id: str = "scan_id", at: str = "updated_at", seconds: float = JOB_TTL_SECONDS) -> DataFrame:
-    """Distinct change times per job with the gap before each, and ``expired_before``.
+def _life_machine(ttl: int) -> Machine:
+    """Lives of a job: reads ``at_us``, ``_what`` (0 a change, 1 one that queues, 2 a poll) and ``_id``.
+
+    Changes closer than the lifetime to the change before belong together, accepted or
+    not; in each such session those from the first queueing on are accepted. The state is
+    the last change's time, the time its job was queued (-1: not accepted) and its id.
+    """
+    def machine(columns, state):
+        at, what, ids = columns["at_us"], columns["_what"], columns["_id"]
+        change = np.flatnonzero(what < 2)
+        times = at[change]
+        n, index = len(change), np.arange(len(change))
+        before = np.concatenate([[state[0] if state else -1], times[:-1]]) if n else times
+        fresh = (before < 0) | (times - before >= ttl)
+        session = np.maximum.accumulate(np.where(fresh, index, -1)) if n else index
+        queued = np.maximum.accumulate(np.where(what[change] == 1, index, -1)) if n else index
+        created = np.where((queued >= 0) & (queued >= session), times[np.maximum(queued, 0)], -1) if n else times
+        # what came before goes on until the first fresh change
+        created = np.where((session < 0) & (queued < 0), state[1] if state else -1, created)
+        gap = np.where(before < 0, -1, times - before)
+        out = {c: np.full(len(at), -1, dtype=np.int64) for c in ("gap_us", "created_us", "seen_id", "seen_us")}
+        out["gap_us"][change], out["created_us"][change] = gap, created
+        poll = np.flatnonzero(what == 2)
+        if len(poll):
+            known = np.concatenate([[state or [-1, -1, -1]], np.stack([times, created, ids[change]], axis=1)]).astype(np.int64)
+            last = known[np.searchsorted(change, poll)]
+            alive = (last[:, 1] >= 0) & (at[poll] - last[:, 0] < ttl)
+            out["seen_us"][poll], out["seen_id"][poll] = np.where(alive, last[:, 0], -1), np.where(alive, last[:, 2], -1)
+        return out, [int(times[-1]), int(created[-1]), int(ids[change[-1]])] if n else state or [-1, -1, -1]
+
+    return machine
+
+
+_LIFE = ["gap_us", "created_us", "seen_id", "seen_us"]
+
+
+def _lived(rows: DataFrame, seconds: float, chunks: int | None) -> DataFrame:
+    return carried_scan(rows, "_named", ["at_us", "_id"], _life_machine(int(seconds * SECOND)), ["at_us", "_what", "_id"], _LIFE, chunks)
+
+
+def job_states(
+    changes: DataFrame, scan_id: str = "scan_id", at: str = "updated_at", id_col: str = "event_id", seconds: float = JOB_TTL_SECONDS,
+    chunks: int | None = None,
+) -> DataFrame:
+    """Every change with ``accepted``, ``created_at_us`` (when its job was queued last) and ``expires_at_us``.
 
-    Every change renews the lifetime, so a job had expired when the gap reaches it. The
-    previous time comes from the same second, or else from the last occupied second;
-    no job is gathered row by row.
+    Queueing makes a job; every change renews its lifetime. A change of a job that was never
+    queued, or has expired (the lifetime has passed since its last change), does nothing.
+    Changes of one time are taken in the order of ``id_col``, whole numbers of zero or more that tell changes
+    apart. Changes without a time or job are left out.
     """
-    ttl = int(seconds * SECOND)
-    times = changes.select(scan_id, micros(at).alias("at_us")).distinct()
-    times = times.withColumn("_second", F.floor(F.col("at_us") / SECOND))
-    earlier = Window.partitionBy(scan_id).orderBy("_second")
-    seconds_table = (
-        times.groupBy(scan_id, "_second").agg(F.max("at_us").alias("_last"))
-        .withColumn("_previous", F.lag("_last").over(earlier)).drop("_last")
+    rows = changes.withColumns({
+        "at_us": micros(at), "_named": named_key(scan_id), "_id": F.col(id_col).cast("long"),
+        "_what": F.coalesce((F.col("status") == "queued").cast("int"), F.lit(0)),
+    }).where(F.col("at_us").isNotNull() & F.col(scan_id).isNotNull() & F.col("_id").isNotNull())
+    lived = _lived(rows, seconds, chunks)
+    accepted = F.col("created_us").isNotNull()
+    return lived.withColumns({
+        "accepted": accepted, "created_at_us": F.col("created_us"),
+        "expires_at_us": F.when(accepted, F.col("at_us") + int(seconds * SECOND)),
+    }).drop("_named", "_what", "_id", *_LIFE)
+
+
+def job_latest_alive(
+    changes: DataFrame, as_of: Column, scan_id: str = "scan_id", at: str = "updated_at", id_col: str = "event_id", seconds: float = JOB_TTL_SECONDS,
+) -> DataFrame:
+    """The last accepted change of each job up to ``as_of``, where that job has not expired by then."""
+    until = F.unix_micros(as_of.cast("timestamp"))
+    taken = job_states(changes.where(F.col(at).cast("timestamp") <= as_of.cast("timestamp")), scan_id, at, id_col, seconds).where("accepted")
+    last = taken.groupBy(scan_id).agg(F.max(F.struct("at_us", F.col(id_col).alias("_last"))).alias("_at"))
+    last = last.where(F.col("_at.at_us") + int(seconds * SECOND) > until).select(F.col(scan_id).alias("_of"), "_at._last")
+    return taken.join(last, (F.col(scan_id) == F.col("_of")) & (F.col(id_col) == F.col("_last"))).drop("_of", "_last", "accepted")
+
+
+def job_seen_at(
+    polls: DataFrame, changes: DataFrame, scan_id: str = "scan_id", polled_at: str = "polled_at", at: str = "updated_at",
+    id_col: str = "event_id", seconds: float = JOB_TTL_SECONDS, chunks: int | None = None,
+) -> DataFrame:
+    """As-of join: polls with ``seen_id`` and ``seen_us``, the last accepted change at or before the poll that is still alive then.
+
+    Polls and changes are scanned together in order, so no pair of them is formed and no
+    job's rows are gathered. Both columns are null where there is no such change, and for
+    polls without a job or time.
+    """
+    named = lambda df, ts, what, own: df.select(
+        named_key(scan_id).alias("_named"), micros(ts).alias("at_us"), what.alias("_what"), own.alias("_id"),
+    )
+    able = F.col(scan_id).isNotNull() & F.col(polled_at).isNotNull()
+    numbered = polls.where(able).select(scan_id, polled_at).distinct()
+    asked = named(numbered, polled_at, F.lit(2), F.lit(0).cast("long"))
+    given = changes.where(F.col(scan_id).isNotNull() & F.col(at).isNotNull() & F.col(id_col).isNotNull())
+    made = named(given, at, F.coalesce((F.col("status") == "queued").cast("int"), F.lit(0)), F.col(id_col).cast("long"))
+    # the order puts a change of the poll's own time first, whatever it does
+    rows = asked.unionByName(made).withColumn("_poll", (F.col("_what") == 2).cast("int"))
+    lived = carried_scan(
+        rows, "_named", ["at_us", "_poll", "_id"], _life_machine(int(seconds * SECOND)), ["at_us", "_what", "_id"], _LIFE, chunks,
     )
-    inside = Window.partitionBy(scan_id, "_second").orderBy("at_us")
-    joined = times.join(seconds_table, [scan_id, "_second"])
-    previous = F.coalesce(F.lag("at_us").over(inside), F.col("_previous"))
-    return joined.withColumn("gap_us", F.col("at_us") - previous).select(
-        scan_id, "at_us", "gap_us", F.coalesce(F.col("gap_us") >= ttl, F.lit(False)).alias("expired_before")
+    answers = lived.where("_what = 2").select(F.col("_named").alias("_of"), F.col("at_us").alias("_at"), "seen_id", "seen_us")
+    return polls.withColumns({"_named": named_key(scan_id), "_us": micros(polled_at)}).join(
+        answers, (F.col("_named") == F.col("_of")) & (F.col("_us") == F.col("_at")), "left",
+    ).drop("_named", "_us", "_of", "_at")
+
+
+def job_expiry(
+    changes: DataFrame, scan_id: str = "scan_id", at: str = "updated_at", seconds: float = JOB_TTL_SECONDS, chunks: int | None = None
+) -> DataFrame:
+    """Distinct change times per job with the gap before each, and ``expired_before``.
+
+    Every change renews the lifetime, so a job had expired when the gap reaches it.
+    """
+    times = changes.select(scan_id, micros(at).alias("at_us")).where("at_us IS NOT NULL").distinct()
+    rows = times.withColumns({"_named": named_key(scan_id), "_what": F.lit(0), "_id": F.lit(0).cast("long")})
+    return _lived(rows, seconds, chunks).select(
+        scan_id, "at_us", "gap_us", F.coalesce(F.col("gap_us") >= int(seconds * SECOND), F.lit(False)).alias("expired_before")
     )

@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 
 # Window settings under which the synthetic events exercise limits and expiry.
 LIMIT, HOURS = 3, 6 * 3600
+# Lifetime of jobs under which some of the synthetic ones expire and some are renewed.
+LIFETIME = 4 * 24 * 3600
 
 
 def query(fn: Query) -> Query:
@@ -548,6 +550,33 @@ def job_latest(spark, folder):
     )
 
 
+@query
+def job_states(spark, folder):
+    out = windows.job_states(t.job_changes(spark, folder), seconds=LIFETIME)
+    return out.select("event_id", "scan_id", "status", "at_us", "accepted", "created_at_us", "expires_at_us")
+
+
+@query
+def job_latest_alive(spark, folder):
+    changes = t.job_changes(spark, folder)
+    as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    out = windows.job_latest_alive(changes, as_of, seconds=LIFETIME)
+    return out.select("scan_id", "status", "event_id", "at_us", "created_at_us", "expires_at_us")
+
+
+@query
+def job_status_at(spark, folder):
+    """Every customer's job and some ill-formed ids, polled at three times, one of them a change's own time."""
+    ids = t.read(spark, folder, "customer").select(F.concat(F.lit("job-"), F.col("c_custkey")).alias("scan_id"))
+    odd = t.urls(spark, folder).select(F.concat(F.lit("job "), F.col("page_id")).alias("scan_id"))
+    days = F.array(*[F.lit(x).cast("timestamp") for x in ("2024-01-08 00:00:00", "2024-01-15 12:00:00")])
+    changes = t.job_changes(spark, folder)
+    polls = ids.unionByName(odd).select("scan_id", F.explode(days).alias("polled_at"))
+    own = changes.select("scan_id", F.col("updated_at").alias("polled_at"))
+    out = joins.job_status_at(polls.unionByName(own), changes, seconds=LIFETIME)
+    return out.select("scan_id", F.unix_micros("polled_at").alias("polled_at_us"), "status", "seen_us")
+
+
 @query
 def job_expiry(spark, folder):
     return windows.job_expiry(t.job_changes(spark, folder))

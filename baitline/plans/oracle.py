@@ -671,6 +671,25 @@ S["ttl_cache_events"] = with_(REQUESTS, anchored("requests", "url")) + (
     f"SELECT event_id, url, position > 1 AS cache_hit, window_start_us AS cached_from_us, window_start_us + {WIDTH} AS cached_until_us FROM windowed"
 )
 S["job_latest"] = with_(JOBS) + "SELECT scan_id, status, event_id, updated_at_us, created_at_us FROM latest"
+LIVES = """ordered AS (SELECT *, lag(at_us) OVER (PARTITION BY scan_id ORDER BY at_us, event_id) AS prev FROM changes),
+lives AS (SELECT *, sum(CASE WHEN prev IS NULL OR at_us - prev >= 345600000000 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY scan_id ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS life FROM ordered),
+states AS (SELECT *, max(CASE WHEN status = 'queued' THEN at_us END)
+    OVER (PARTITION BY scan_id, life ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS created_at_us FROM lives),
+held AS (SELECT *, at_us + 345600000000 AS expires_at_us FROM states WHERE created_at_us IS NOT NULL)"""
+S["job_states"] = with_(JOBS, LIVES) + """SELECT event_id, scan_id, status, at_us, created_at_us IS NOT NULL AS accepted, created_at_us,
+    CASE WHEN created_at_us IS NOT NULL THEN at_us + 345600000000 END AS expires_at_us FROM states"""
+S["job_latest_alive"] = with_(JOBS, LIVES) + """SELECT scan_id, status, event_id, at_us, created_at_us, expires_at_us FROM (
+    SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY at_us DESC, event_id DESC) AS place FROM held
+    WHERE at_us <= epoch_us(TIMESTAMP '2024-01-20 12:00:00')) WHERE place = 1 AND expires_at_us > epoch_us(TIMESTAMP '2024-01-20 12:00:00')"""
+S["job_status_at"] = with_(JOBS, LIVES, """ids AS (SELECT 'job-' || c_custkey AS scan_id FROM customer UNION ALL SELECT 'job ' || page_id FROM pages),
+polls AS (SELECT scan_id, epoch_us(unnest([TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-15 12:00:00'])) AS polled_at_us FROM ids
+    UNION ALL SELECT scan_id, at_us FROM changes),
+asked AS (SELECT DISTINCT scan_id, polled_at_us FROM polls),
+seen AS (SELECT a.scan_id, polled_at_us, arg_max(status, (at_us, event_id)) AS status, max(at_us) AS seen_us FROM asked a
+    JOIN held h ON h.scan_id = a.scan_id AND at_us <= polled_at_us AND polled_at_us < expires_at_us GROUP BY ALL)""") + """
+SELECT p.scan_id, p.polled_at_us, CASE WHEN NOT regexp_full_match(p.scan_id, '[A-Za-z0-9_-]{1,128}') THEN 'invalid' ELSE coalesce(s.status, 'not_found') END AS status, s.seen_us
+FROM polls p LEFT JOIN seen s ON p.scan_id = s.scan_id AND p.polled_at_us = s.polled_at_us"""
 S["job_expiry"] = with_(JOBS, "times AS (SELECT DISTINCT scan_id, at_us FROM changes)",
     "gaps AS (SELECT *, at_us - lag(at_us) OVER (PARTITION BY scan_id ORDER BY at_us) AS gap_us FROM times)") + (
     "SELECT scan_id, at_us, gap_us, coalesce(gap_us >= 3600000000, false) AS expired_before FROM gaps"

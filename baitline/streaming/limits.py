@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,28 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from baitline.functions.fixed_values import RATE_LIMIT, RATE_WINDOW_SECONDS, RESULT_TTL_SECONDS
 from baitline.functions.shipping import ship_with_tasks
-from baitline.operators.windows import SECOND, UNKNOWN_CLIENT, micros
+from baitline.operators.windows import SECOND, UNKNOWN_CLIENT, advance, micros
 
 ship_with_tasks(__name__)
 
 WATERMARK = "10 minutes"
 
 
-def _advance(times: np.ndarray, start: int | None, seen: int, width: int):
-    """Window start and position for sorted times, continuing an open window."""
-    starts, positions = np.empty(len(times), "int64"), np.empty(len(times), "int64")
-    i = 0
-    while i < len(times):
-        if start is None or times[i] >= start + width:
-            start, seen = int(times[i]), 0
-        j = i + int(np.searchsorted(times[i:], start + width, side="left"))
-        starts[i:j] = start
-        positions[i:j] = np.arange(seen + 1, seen + 1 + j - i)
-        seen += j - i
-        i = j
-    return starts, positions, start, seen
-
-
 def anchored_stream(events: DataFrame, key: str, ts: str, order: str, seconds: float, watermark: str = WATERMARK) -> DataFrame:
     """Streaming ``anchored_windows``: key, order, at_us, window_start_us, position.
 
@@ -54,7 +38,7 @@ def anchored_stream(events: DataFrame, key: str, ts: str, order: str, seconds: f
         rows = pd.concat([held, *new] if len(held) or not new else new, ignore_index=True).sort_values(["at_us", "tie"], kind="stable")
         passed = state.getCurrentWatermarkMs()
         ready, wait = rows[rows["at_us"] <= passed * 1000], rows[rows["at_us"] > passed * 1000]
-        starts, positions, start, seen = _advance(ready["at_us"].to_numpy(), start, seen, width)
+        starts, positions, start, seen = advance(ready["at_us"].to_numpy(), start, seen, width)
         if not len(wait) and (start is None or start + width <= passed * 1000):
             state.remove()
         else:

@@ -44,19 +44,19 @@ def as_map(df):
     return {r["event_id"]: (r["window_start_us"], r["position"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 100, 0])
-def test_routes_agree_with_brute_force(events, hot_rows):
+@pytest.mark.parametrize("chunks", [1, 8, 61])
+def test_chunks_agree_with_brute_force(events, chunks):
     timed = events.withColumn("at_us", windows.micros("ts"))
     want = brute([(r["client"], r["at_us"], r["event_id"]) for r in timed.collect()], 60 * 10**6)
-    got = windows.anchored_windows(events, "client", "ts", 60, ["event_id"], hot_key_rows=hot_rows)
+    got = windows.anchored_windows(events, "client", "ts", 60, ["event_id"], chunks=chunks)
     assert as_map(got) == want
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 0])
-def test_null_keys_are_a_key_of_their_own(spark, hot_rows):
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_null_keys_are_a_key_of_their_own(spark, chunks):
     rows = [(1, None, 0), (2, "a", 5), (3, None, 20), (4, "n", 21), (5, None, 70), (6, "a", 30)]
     df = spark.createDataFrame(rows, "event_id long, url string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    out = windows.ttl_cache_events(df, order=["event_id"], seconds=60, hot_key_rows=hot_rows)
+    out = windows.ttl_cache_events(df, order=["event_id"], seconds=60, chunks=chunks)
     got = {r["event_id"]: (r["url"], r["cache_hit"], r["position"], r["window_start_us"] // 10**6) for r in out.collect()}
     assert got == {
         1: (None, False, 1, 0), 3: (None, True, 2, 0), 5: (None, False, 1, 70), 2: ("a", False, 1, 5), 6: ("a", True, 2, 5), 4: ("n", False, 1, 21),
@@ -91,6 +91,67 @@ def test_job_latest_and_expiry(spark):
     assert gaps == {("a", None): False, ("b", None): False, ("a", 1800 * 10**6): False, ("a", 3600 * 10**6): True}
 
 
+def lived(rows, ttl):
+    """rows: (event_id, job, status, second) -> accepted ids with the second their job was queued; by a plain walk."""
+    out, jobs_now = {}, {}
+    for i, job, status, at in sorted(rows, key=lambda r: (r[3], r[0])):
+        created, last = jobs_now.get(job, (None, None))
+        if status == "queued":
+            created = at
+        elif created is None or at - last >= ttl:
+            continue
+        jobs_now[job] = (created, at)
+        out[i] = created
+    return out
+
+
+@pytest.fixture(scope="module")
+def lives(spark):
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 2 else f"j{i % 40}", rng.choice(["queued", "processing", "completed", "failed"]), rng.randrange(0, 20_000)) for i in range(1500)]
+    rows += [(2000 + i, "steady", "queued" if i == 0 else "processing", 99 * i) for i in range(300)]
+    rows += [(3000 + i, "never", "processing", 50 * i) for i in range(100)]
+    frame = spark.createDataFrame(rows, "event_id long, scan_id string, status string, s long").withColumn("updated_at", F.timestamp_seconds("s")).cache()
+    return rows, frame
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 40])
+def test_job_states_renew_and_expire(lives, chunks):
+    rows, frame = lives
+    got = {r["event_id"]: r["created_at_us"] // 10**6 for r in windows.job_states(frame, seconds=100, chunks=chunks).where("accepted").collect()}
+    assert got == lived(rows, 100) and any(i >= 2000 for i in got) and not any(i >= 3000 for i in got)
+
+
+@pytest.mark.parametrize("chunks", [1, 9])
+def test_polls_see_what_is_alive(spark, lives, chunks):
+    rows, frame = lives
+    asked = [(job, at) for job in ("hot", "j4", "j8", "steady", "never", "none") for at in range(0, 21_000, 37)]
+    polls = spark.createDataFrame([*asked, (None, 5), ("hot", None)], "scan_id string, s long").withColumn("polled_at", F.timestamp_seconds("s"))
+    got = {(r["scan_id"], r["s"]): (r["seen_id"], r["seen_us"]) for r in windows.job_seen_at(polls, frame, seconds=100, chunks=chunks).collect()}
+    accepted = lived(rows, 100)
+    want = {(None, 5): (None, None), ("hot", None): (None, None)}
+    for job, at in asked:
+        held = max(((s, i) for i, j, _, s in rows if j == job and s <= at and i in accepted), default=None)
+        want[job, at] = (held[1], held[0] * 10**6) if held and at - held[0] < 100 else (None, None)
+    assert got == want
+
+
+def test_latest_alive(spark, lives):
+    rows, frame = lives
+    accepted, want = lived([r for r in rows if r[3] <= 15_000], 100), {}
+    for i, job, _, s in sorted(rows, key=lambda r: (r[3], r[0])):
+        if i in accepted and s <= 15_000:
+            want[job] = (i, s)
+    got = {r["scan_id"]: r["event_id"] for r in windows.job_latest_alive(frame, F.timestamp_seconds(F.lit(15_000)), seconds=100).collect()}
+    assert got == {job: i for job, (i, s) in want.items() if 15_000 - s < 100}
+
+
+def test_scans_of_nothing(spark):
+    none = spark.createDataFrame([], "event_id long, scan_id string, status string, updated_at timestamp, url string")
+    assert windows.job_states(none).collect() == [] and windows.job_expiry(none).collect() == []
+    assert windows.rate_limit(none, client="scan_id", ts="updated_at", order=["event_id"]).collect() == []
+
+
 def stream_of(spark, df, path, parts=3, order=("ts", "event_id"), end=None):
     """Write ``df`` as ordered files and read them one file per batch; ``end`` is a last row that moves the watermark."""
     ordered = df.orderBy(*order).collect()
