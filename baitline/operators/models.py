@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -118,6 +121,9 @@ def train_boosted(df: DataFrame, features: list[str] | None = None, **options) -
         return _with_vector(classifier, names, False).fit(_packed(rows))
 
 
+# Fits that run at a time.
+FITS_AT_ONCE = 6
+
 Trainer = Callable[[DataFrame, list[str]], PipelineModel]
 TRAINERS: dict[str, Trainer] = {
     "Logistic Regression": lambda df, f: train_logreg(df, f),
@@ -184,19 +190,30 @@ def _measured(name: str, stage: str, trainer: Trainer, train: DataFrame, unseen:
     return model, row
 
 
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], object]], at_once: int | None = None) -> list[object]:
+    """Results of independent jobs in their order, so many of them at a time.
+
+    The many short stages of one fit leave most of a cluster idle; other fits fill it.
+    """
+    with ThreadPoolExecutor(max_workers=at_once or FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs]))
+
+
 def select_and_refit(
     train: DataFrame, validation: DataFrame, test: DataFrame, trainers: dict[str, Trainer] | None = None,
     features: list[str] | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit every model, keep the best validation F1, refit it on both splits, test once.
 
+    Of models with one F1 the last by name is kept, as in ``metrics.model_comparison``.
     Returns the refitted model and a table of validation rows plus one test row.
     """
     trainers, names = trainers or TRAINERS, features or FEATURE_NAMES
     spark = train.sparkSession
     with held(train, validation) as kept:
-        rows = [_measured(name, "validation", fit, *kept, names)[1] for name, fit in trainers.items()]
-        best = max(rows, key=lambda r: r["f1"])["model"]
+        rows = side_by_side(spark, [partial(_measured, name, "validation", fit, *kept, names) for name, fit in trainers.items()])
+        rows = [row for _, row in rows]
+        best = max(rows, key=lambda r: (r["f1"], r["model"]))["model"]
         model, row = _measured(best, "test", trainers[best], union_for_refit(*kept), test, names)
     return model, spark.createDataFrame([*rows, row], RESULT_SCHEMA)
 
@@ -205,16 +222,16 @@ def ablation(
     train: DataFrame, validation: DataFrame, trainers: dict[str, Trainer] | None = None,
     sets: dict[str, list[str]] | None = None, features: list[str] | None = None,
 ) -> DataFrame:
-    """Validation metrics for every (feature set, model) pair."""
+    """Validation metrics for every (feature set, model) pair; the fits run side by side on one kept table."""
     trainers, names = trainers or TRAINERS, features or FEATURE_NAMES
-    rows = []
-    with held(train, validation) as both:
-        for set_name, dropped in (sets or ABLATION_SETS).items():
-            kept = [f for f in names if f not in dropped]
-            for name, fit in trainers.items():
-                _, row = _measured(name, "validation", fit, *both, kept)
-                rows.append({"feature_set": set_name, **row})
-    return train.sparkSession.createDataFrame(rows, "feature_set string, " + RESULT_SCHEMA)
+    spark = train.sparkSession
+    grid = [(s, [f for f in names if f not in dropped], m) for s, dropped in (sets or ABLATION_SETS).items() for m in trainers]
+    with held(*(t.select(*names, "label") for t in (train, validation))) as both:
+        for table in both:
+            table.count()
+        fitted = side_by_side(spark, [partial(_measured, m, "validation", trainers[m], *both, kept) for _, kept, m in grid])
+    rows = [{"feature_set": s, **row} for (s, _, _), (_, row) in zip(grid, fitted, strict=True)]
+    return spark.createDataFrame(rows, "feature_set string, " + RESULT_SCHEMA)
 
 
 def feature_importances(model: PipelineModel, features: list[str] | None = None) -> DataFrame:

@@ -146,16 +146,7 @@ def select_features(spark, folder):
 
 @query
 def enrich_threat_intel(spark, folder):
-    return _enriched(t.probes(spark, folder).where("variant < 2"), i.reports(spark, folder))
-
-
-@query
-def enrich_threat_intel_every_variant(spark, folder):
-    return _enriched(t.probes(spark, folder), i.reports(spark, folder, every_page=True))
-
-
-def _enriched(probes, reports):
-    out = intel.enrich_threat_intel(probes, reports, url_col="page_url")
+    out = intel.enrich_threat_intel(t.probes(spark, folder), i.reports(spark, folder, every_page=True), url_col="page_url")
     return out.select(
         "page_id", "variant", "intel_status", "malicious", "suspicious", "harmless", "undetected", "total_engines", "intel_score", texts("intel_reasons")
     )
@@ -234,12 +225,6 @@ def scan_stats(spark, folder):
     return history.scan_stats(history.history_rows(i.scan_log(spark, folder)))
 
 
-@query
-def scan_stats_every_variant(spark, folder):
-    return history.scan_stats(history.history_rows(i.scan_log_every_variant(spark, folder)))
-
-
-
 @query
 def label_distribution(spark, folder):
     return audit.label_distribution(splits.group_split(audit.with_host(t.labelled_urls(spark, folder)), "domain"), by="split")
@@ -360,31 +345,13 @@ def domains_per_split(spark, folder):
 
 @query
 def recent_scans(spark, folder):
-    return _recent(i.scan_log(spark, folder))
-
-
-@query
-def recent_scans_every_variant(spark, folder):
-    return _recent(i.scan_log_every_variant(spark, folder))
-
-
-def _recent(log):
-    rows = history.recent_scans(history.history_rows(log), 100)
+    rows = history.recent_scans(history.history_rows(i.scan_log(spark, folder)), 100)
     return rows.select("id", "url", "prediction", i.r6("risk_score"), F.unix_micros("scanned_at").alias("scanned_at_us"))
 
 
 @query
 def history_rows(spark, folder):
-    return _history(i.scan_log(spark, folder))
-
-
-@query
-def history_rows_every_variant(spark, folder):
-    return _history(i.scan_log_every_variant(spark, folder))
-
-
-def _history(log):
-    rows = history.history_rows(log)
+    rows = history.history_rows(i.scan_log(spark, folder))
     return rows.select(
         *[i.r6(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in rows.schema if f.name != "scanned_at"],
         F.unix_micros("scanned_at").alias("scanned_at_us"),
@@ -439,16 +406,7 @@ def deterministic_shuffle(spark, folder):
 
 @query
 def dedup_urls(spark, folder):
-    return _deduplicated(t.probes(spark, folder).where("variant IN (0, 4, 6, 14)"))
-
-
-@query
-def dedup_urls_every_variant(spark, folder):
-    return _deduplicated(t.probes(spark, folder))
-
-
-def _deduplicated(probes):
-    asked = probes.select("page_id", "variant", "url")
+    asked = t.probes(spark, folder).select("page_id", "variant", "url")
     shouted = asked.select("page_id", (F.col("variant") + 100).alias("variant"), F.concat(F.upper("url"), F.lit("/")).alias("url"))
     rows = asked.unionByName(shouted)
     out = None
@@ -708,7 +666,7 @@ def train_hostname_model(spark, folder):
 @query
 def select_and_refit(spark, folder):
     rows = models.select_and_refit(*_split_rows(spark, folder))[1]
-    best = rows.where("stage = 'validation'").agg(F.max_by("model", "f1")).first()[0]
+    best = rows.where("stage = 'validation'").agg(F.max_by("model", F.struct("f1", "model"))).first()[0]
     measures = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
     sound = F.forall(F.array(*measures), lambda m: m.between(0.0, 1.0))
     return rows.groupBy("stage").agg(

@@ -48,11 +48,6 @@ def assessed_probes(spark: SparkSession, folder: str, every_page: bool = False)
     return assess(scan_inputs(spark, folder, every_page))
 
 
-def assessed_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Assessment of the pages' own URLs (variant 0)."""
-    return assess(scan_inputs(spark, folder).where("variant = 0"))
-
-
 def scan_events(spark: SparkSession, folder: str) -> DataFrame:
     n = t.page_count(spark, folder)
     return t.read(spark, folder, "events").select(
@@ -63,12 +58,7 @@ def scan_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_log(spark: SparkSession, folder: str) -> DataFrame:
-    """One scan per event: request, page assessment, duration; every third is a cache hit."""
-    return scan_events(spark, folder).drop("variant").join(assessed_pages(spark, folder), "page_id")
-
-
-def scan_log_every_variant(spark: SparkSession, folder: str) -> DataFrame:
-    """The scan log where events ask for all probes of a page in turn; what cannot be normalised has no scan."""
+    """One scan per event that asks for a probe that can be normalised, all probes of a page in turn; every third is a cache hit."""
     return scan_events(spark, folder).join(assessed_probes(spark, folder, every_page=True), ["page_id", "variant"])
 
 

@@ -731,7 +731,7 @@ S["behaviour_test"] = with_(PROBE_NORM, _PARTS) + """SELECT 'variant ' || varian
 S["top_feature_importance"] = "SELECT 15 AS n_features, 15 AS n_names, TRUE AS none_negative, TRUE AS at_most_one"
 
 
-def every_variant(name: str, *cuts: tuple[str, str]) -> str:
+def whole_tables(name: str, *cuts: tuple[str, str]) -> str:
     """The SQL of a query without the conditions that keep it to some probes and pages."""
     sql = S[name]
     for cut, whole in cuts:
@@ -745,11 +745,11 @@ _IN_TURN = (
     "JOIN (SELECT * FROM conf WHERE variant = 0) c ON c.page_id = e.event_id % (SELECT count(*) FROM pages)",
     "JOIN conf c ON c.page_id = e.event_id % (SELECT count(*) FROM pages) AND c.variant = (e.event_id // (SELECT count(*) FROM pages)) % 16",
 )
-# empty URLs, which the four variants above lack: full_row keeps them, trim_add_http has no key for them
-S["dedup_urls_every_variant"] = every_variant(
+# empty URLs, which four variants lack: full_row keeps them, trim_add_http has no key for them
+S["dedup_urls"] = whole_tables(
     "dedup_urls", (" WHERE variant IN (0, 4, 6, 14)", ""), ("SELECT *, url AS k FROM rows_) WHERE k <> ''", "SELECT *, url AS k FROM rows_) WHERE TRUE"),
     ("ELSE 'http://' || trim(url) END", "WHEN trim(url) <> '' THEN 'http://' || trim(url) END"),
 )
-S["enrich_threat_intel_every_variant"] = every_variant("enrich_threat_intel", (" WHERE variant < 2", ""), _EVERY_PAGE)
+S["enrich_threat_intel"] = whole_tables("enrich_threat_intel", (" WHERE variant < 2", ""), _EVERY_PAGE)
 for _name in ("scan_stats", "recent_scans", "history_rows"):
-    S[f"{_name}_every_variant"] = every_variant(_name, _IN_TURN, _EVERY_PAGE)
+    S[_name] = whole_tables(_name, _IN_TURN, _EVERY_PAGE)

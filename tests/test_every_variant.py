@@ -1,4 +1,4 @@
-"""The probes and pages that the first queries leave out reach the operators too."""
+"""All probes and pages reach the operators."""
 
 import pytest
 
@@ -9,12 +9,12 @@ from baitline.sources import tables as t
 
 @pytest.mark.parametrize("name", ["dedup_urls", "enrich_threat_intel"])
 def test_queries_see_all_variants(spark, folder, name):
-    seen = {r.variant % 100 for r in QUERIES[f"{name}_every_variant"](spark, folder).select("variant").distinct().collect()}
+    seen = {r.variant % 100 for r in QUERIES[name](spark, folder).select("variant").distinct().collect()}
     assert seen >= set(range(t.N_PROBES)) - ({11} if name == "dedup_urls" else set())
 
 
 def test_scans_see_all_assessed_variants(spark, folder):
-    seen = {r.variant for r in i.scan_log_every_variant(spark, folder).select("variant").distinct().collect()}
+    seen = {r.variant for r in i.scan_log(spark, folder).select("variant").distinct().collect()}
     assert seen == {r.variant for r in i.assessed_probes(spark, folder).select("variant").distinct().collect()}
 
 
