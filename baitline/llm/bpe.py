@@ -33,14 +33,14 @@ WINDOW, LEAST_CHUNK, MEAN_CHUNK_BITS = 32, 256, 10
 GAPS = b" \t\n\r\x0b\x0c"
 _GAP = re.compile(b"[ \t\n\r\x0b\x0c]")
 #: Words whose ids a task remembers; when there are more, it starts over.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 150_000
 #: Texts are encoded in runs of about so many bytes.
-ENCODED_BYTES = 1_000_000
+ENCODED_BYTES = 500_000
 #: New words that one call to the tokenizer takes.
-LEARNED_WORDS = 10_000
+LEARNED_WORDS = 5_000
 #: A word of its own that marks the ends of words encoded in one call.
 MARK = "\x01"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _ROLL = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
 
 

@@ -32,7 +32,7 @@ PREFIXES = (4, 6)
 #: The most labelled texts of each class that training takes, in the order of a hash of their ids, and their bytes in all.
 SAMPLE_ROWS, SAMPLE_BYTES = {1: 2500, 0: 5000}, 48 << 20
 #: Words that are convolved together, so that a very long text is held in parts.
-SLICE_WORDS = 1 << 16
+SLICE_WORDS = 1 << 14
 EPOCHS, LEAST_STEPS, BATCH, RATE, CALIBRATION = 8, 700, 64, 0.1, 5
 #: Frequent function words by language.
 FUNCTION_WORDS = {

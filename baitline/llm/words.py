@@ -19,7 +19,7 @@ from baitline.functions.shipping import ship_with_tasks
 ship_with_tasks(__name__)
 
 #: Texts are worked on in runs of about so many bytes; one longer text makes a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Longer words, in bytes, are hashed one by one.
 LONG_WORD = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
