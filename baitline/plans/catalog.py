@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.functions import urls as ur
-from baitline.functions.fixed_values import FEATURE_NAMES
+from baitline.functions.fixed_values import BRAND_DOMAINS, FEATURE_NAMES, FEATURE_WORDS, RULE_WORDS
 from baitline.functions.hashing import seeded_md5
 from baitline.operators import (
-    audit, augment, cleaning, dedup, features, history, intel, joins, metrics, models, risk, rules, splits, windows,
+    audit, augment, cleaning, dedup, features, history, intel, joins, metrics, models, names, risk, rules, splits, windows,
 )
 from baitline.plans import inputs as i
 from baitline.sources import tables as t
@@ -181,6 +181,33 @@ def suspicious_words(spark, folder):
     return joins.suspicious_words(i.normal_probes(spark, folder)).select("page_id", "variant", "feature_words", "rule_words")
 
 
+def listed_names(spark, folder):
+    """name: thousands of words of the documents, and the built-in brands and words."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
+    known = [*BRAND_DOMAINS, *FEATURE_WORDS, *RULE_WORDS]
+    given = t.read(spark, folder, "documents").select(words.alias("name"))
+    return given.unionByName(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in known])).alias("name"))).distinct()
+
+
+@query
+def brand_impersonation_by_table(spark, folder):
+    """Every listed name and every first label of a page's host is a brand; a page's registered domain owns its first label."""
+    own = ur.with_url_parts(t.urls(spark, folder)).where("normalized_url IS NOT NULL").select(
+        F.substring_index("host", ".", 1).alias("brand"), ur.registered_domain(F.col("host")).alias("domain")
+    )
+    built_in = [(b, d) for b, domains in BRAND_DOMAINS.items() for d in domains]
+    owned = own.unionByName(spark.createDataFrame(built_in, "brand string, domain string"))
+    brands = listed_names(spark, folder).select(F.col("name").alias("brand")).unionByName(own.select("brand"))
+    out = names.brand_impersonation_by_table(i.normal_probes(spark, folder), brands, owned)
+    return out.select("page_id", "variant", texts("brand_matches"), "brand_impersonation")
+
+
+@query
+def suspicious_words_by_table(spark, folder):
+    words = listed_names(spark, folder).select(F.col("name").alias("word"))
+    return names.suspicious_words_by_table(i.normal_probes(spark, folder), words).select("page_id", "variant", "feature_words", "rule_words")
+
+
 @query
 def combine_model_scores(spark, folder):
     pages = t.urls(spark, folder)

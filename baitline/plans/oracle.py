@@ -528,6 +528,25 @@ S["suspicious_tld"] = with_(PROBE_NORM, WITH_RD) + (
 S["suspicious_words"] = with_(PROBE_NORM) + (
     f"SELECT page_id, variant::INTEGER AS variant, CAST({FEATURE_WORD_COUNT} AS INTEGER) AS feature_words, CAST({RULE_WORD_COUNT} AS INTEGER) AS rule_words FROM norm"
 )
+LISTED = f"""listed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS name FROM documents
+  UNION SELECT unnest({listed([*fv.BRAND_DOMAINS, *fv.FEATURE_WORDS, *fv.RULE_WORDS])}))"""
+S["brand_impersonation_by_table"] = with_(
+    PROBE_NORM, WITH_RD, LISTED,
+    "own AS (SELECT DISTINCT split_part(host, '.', 1) AS brand, rd AS domain FROM rd_norm WHERE variant = 0)",
+    "owned AS (SELECT * FROM own UNION SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{d}')" for b, ds in fv.BRAND_DOMAINS.items() for d in ds) + ") v(brand, domain))",
+    "brands AS (SELECT name AS brand FROM listed UNION SELECT brand FROM own)",
+    "all_hosts AS (SELECT DISTINCT trim(host, '.') AS h, rd FROM rd_norm WHERE host <> '')",
+    """found AS (SELECT h, array_to_string(list_sort(list(brand)), ' | ') AS names FROM all_hosts a JOIN brands b ON contains(a.h, b.brand) AND b.brand <> ''
+  WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.brand = b.brand AND o.domain = a.rd) GROUP BY h)""",
+) + """SELECT page_id, variant::INTEGER AS variant, coalesce(names, '') AS brand_matches, names IS NOT NULL AS brand_impersonation
+  FROM rd_norm LEFT JOIN found ON h = trim(host, '.')"""
+S["suspicious_words_by_table"] = with_(
+    PROBE_NORM, LISTED, "texts AS (SELECT DISTINCT lower(nu) AS u FROM norm)",
+    "f AS (SELECT u, count(DISTINCT name) AS n FROM (SELECT u, unnest(regexp_split_to_array(u, '[^a-z0-9]+')) AS w FROM texts) JOIN listed ON name = w GROUP BY u)",
+    r"r AS (SELECT u, count(*) AS n FROM (SELECT u, unnest(regexp_split_to_array(u, '[^\p{L}\p{N}_]+')) AS w FROM texts) JOIN listed ON name = w GROUP BY u)",
+) + r"""SELECT page_id, variant::INTEGER AS variant, CAST(coalesce(f.n, 0) + CASE WHEN regexp_matches(lower(nu), '(^|[^a-z0-9])sign-in([^a-z0-9]|$)') THEN 1 ELSE 0 END AS INTEGER) AS feature_words,
+  CAST(coalesce(r.n, 0) + len(regexp_extract_all(lower(nu), '\bsign-in\b')) AS INTEGER) AS rule_words
+  FROM norm LEFT JOIN f ON f.u = lower(nu) LEFT JOIN r ON r.u = lower(nu)"""
 S["combine_model_scores"] = f"""WITH s AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN {unit("'u' || url")} END AS p_url, CASE WHEN page_id % 4 <> 0 THEN {unit("'h' || url")} END AS p_host FROM pages)
 SELECT page_id, round(p_url, 6) AS p_url, round(p_host, 6) AS p_host, round(CASE WHEN p_url IS NOT NULL AND p_host IS NOT NULL THEN p_url * 35 + p_host * 65 ELSE coalesce(p_host, p_url, 0) * 100 END, 6) AS model_score FROM s"""
 S["cache_lookup"] = with_(REQUESTS, "stored_asks AS (SELECT * FROM requests WHERE event_id % 2 = 0)", anchored("stored_asks", "url")) + (
