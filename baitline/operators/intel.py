@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from baitline.functions.fixed_values import RESULT_TTL_SECONDS
 from baitline.functions.hashing import intel_key
+from baitline.functions.shipping import ship_with_tasks
+from baitline.operators.carry import Machine, carried_scan
+
+ship_with_tasks(__name__)
 
 # Verdicts an engine can give, and the ones counted as engines.
 VERDICTS = ["malicious", "suspicious", "harmless", "undetected", "timeout"]
 COUNTED = ["malicious", "suspicious", "harmless", "undetected"]
 PROVIDER = "VirusTotal"
 STATUSES = ["success", "error", "unavailable", "disabled"]
+# States of an analysis that end it; every other state means that it goes on.
+COMPLETED = "completed"
+FAILED = "error"
+#: How long a scan waits for an analysis that goes on.
+DEADLINE_SECONDS = 30
 
 # Report messages; {n} is an engine count and {s} a status.
 INCOMPLETE = "VirusTotal analysis did not complete before the polling deadline (status: {s})."
@@ -32,7 +43,7 @@ def _template(message: str, value: Column) -> Column:
 def threat_score(malicious: Column, suspicious: Column, total: Column) -> Column:
     """Weighted detection share in percent, two decimals, 0 without engines."""
     share = (malicious + suspicious * 0.5) * 100.0 / F.when(total > 0, total)
-    return F.coalesce(F.round(F.least(share, F.lit(100.0)), 2), F.lit(0.0))
+    return F.when(total > 0, F.round(F.least(share, F.lit(100.0)), 2)).otherwise(0.0)
 
 
 def threat_reasons(
@@ -81,11 +92,39 @@ def threat_report_from_verdicts(
     )
 
 
+def settled_reports(reports: DataFrame, states: DataFrame, url_col: str = "url", state_col: str = "state") -> DataFrame:
+    """Reports with the status their analysis has reached.
+
+    ``states`` has one row per URL: ``completed`` leaves the report as it is, ``error``
+    (the lookup failed) empties it, and any other state becomes its status, with a reason
+    that says so; what its engines found so far stays. A report without a state is completed.
+    """
+    state = F.coalesce("_state", F.lit(COMPLETED))
+    failed = state == FAILED
+    nothing = F.array().cast("array<string>")
+    found = threat_reasons(F.col("malicious"), F.col("suspicious"), F.col("threat_score"), state)
+    joined = reports.join(states.select(url_col, F.col(state_col).alias("_state")), url_col, "left")
+    return joined.withColumns({
+        "reasons": F.when(failed, nothing).otherwise(found),
+        "status": status_of(state),
+        "threat_score": F.when(failed, 0.0).otherwise(F.col("threat_score")),
+        **{c: F.when(failed, 0).otherwise(F.col(c)).cast("int") for c in [*VERDICTS, "total_engines"] if c in reports.columns},
+    }).select(*reports.columns)
+
+
+def status_of(state: Column) -> Column:
+    """A report's status by the state of its analysis."""
+    return F.when(state == COMPLETED, F.lit("success")).otherwise(state)
+
+
 def enrich_threat_intel(
-    urls: DataFrame, reports: DataFrame, url_col: str = "url", report_url_col: str = "url"
+    urls: DataFrame, reports: DataFrame, url_col: str = "url", report_url_col: str = "url", wanted: Column | None = None,
 ) -> DataFrame:
     """Left-join one report per URL; URLs without one are ``unavailable`` with zero counts.
 
+    Rows whose condition ``wanted`` does not hold asked for no lookup: they are
+    ``disabled``, also with zero counts.
+
     The join key is the hash of the trimmed, lower-cased URL. Report URLs that differ
     only in case are merged first (lowest URL wins) so the join never multiplies rows.
     No broadcast is forced: adaptive execution broadcasts the reports when they are
@@ -97,10 +136,12 @@ def enrich_threat_intel(
         .groupBy("_key")
         .agg(F.min_by(F.struct(*fields), F.col(report_url_col)).alias("_report"))
     )
-    joined = urls.withColumn("_key", intel_key(F.col(url_col))).join(keyed, "_key", "left")
+    asked = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    # rows without a lookup have no key, so they meet no report
+    joined = urls.withColumns({"_asked": asked, "_key": F.when(asked, intel_key(F.col(url_col)))}).join(keyed, "_key", "left")
     defaults = {
         "provider": F.lit(PROVIDER),
-        "status": F.lit("unavailable"),
+        "status": F.when(F.col("_asked"), "unavailable").otherwise("disabled"),
         **{c: F.lit(0) for c in COUNTED},
         "total_engines": F.lit(0),
         "threat_score": F.lit(0.0),
@@ -117,6 +158,86 @@ def enrich_threat_intel(
     )
 
 
+def _sight_machine(width: int) -> Machine:
+    """For every scan the last completed update in reach, else the last of any other state."""
+    def machine(columns, state):
+        at, what, ids = columns["at_us"], columns["_what"], columns["_id"]
+        state = state or [-1] * 4
+        scans = np.flatnonzero(what == 2)
+        seen = np.full(len(at), -1, dtype=np.int64)
+        left = []
+        for place, code in ((0, 1), (2, 0)):
+            made = np.flatnonzero(what == code)
+            times, names = (np.concatenate([[state[place + j]], c[made]]).astype(np.int64) for j, c in enumerate((at, ids)))
+            last = np.searchsorted(made, scans)
+            alive = (names[last] >= 0) & (at[scans] - times[last] < width) & (seen[scans] < 0)
+            seen[scans] = np.where(alive, names[last], seen[scans])
+            left += [int(times[-1]), int(names[-1])]
+        return {"seen_id": seen}, left
+
+    return machine
+
+
+def reports_seen(
+    scans: DataFrame, updates: DataFrame, url_col: str = "url", ts: str = "ts", at: str = "at", id_col: str = "update_id",
+    deadline: float = DEADLINE_SECONDS, lifetime: float = RESULT_TTL_SECONDS, wanted: Column | None = None, chunks: int | None = None,
+) -> DataFrame:
+    """Scans with the report that each saw at its own time, as the columns of :func:`enrich_threat_intel` and ``intel_seen_id``.
+
+    ``updates`` are rows (``update_id``, ``url``, ``at``, ``state`` and the four verdict counts) that say how an
+    analysis stands. A scan sees updates of its URL made less than ``lifetime`` before it
+    or up to ``deadline`` after it, for so long it waits. The last completed one counts;
+    without one, the last of any state, so a failure or an analysis that still goes on
+    shows as that. Without any the report is ``unavailable``; where ``wanted`` does not hold it is ``disabled``.
+    Updates of one time are taken in the order of their ids, whole numbers of zero or more that tell them apart; updates without an id, URL
+    or time are left out, scans without a URL or time see none, and an update without a state tells nothing: ``unavailable``.
+
+    An as-of join as one ordered scan: updates and scan times of a URL meet in time
+    order with four numbers carried on, so a URL with any number of both is cut into
+    chunks, and no pairs of scans and updates are formed.
+    """
+    second = 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own, wait = list(scans.columns), int(deadline * second)
+    asked = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    looked = scans.withColumns({"_asked": asked, "_of": F.when(asked, intel_key(F.col(url_col))), "_us": micros(ts) + wait})
+    polls = looked.where("_of IS NOT NULL AND _us IS NOT NULL").select(
+        "_of", F.col("_us").alias("at_us"), F.lit(2).alias("_what"), F.lit(0).cast("long").alias("_id")
+    ).distinct()
+    given = updates.select(
+        intel_key(F.col(url_col)).alias("_of"), micros(at).alias("at_us"),
+        F.coalesce((F.col("state") == COMPLETED).cast("int"), F.lit(0)).alias("_what"), F.col(id_col).cast("long").alias("_id"),
+    ).where("_of IS NOT NULL AND at_us IS NOT NULL AND _id IS NOT NULL")
+    rows = polls.unionByName(given).withColumn("_late", (F.col("_what") == 2).cast("int"))
+    sighted = carried_scan(
+        rows, "_of", ["at_us", "_late", "_id"], _sight_machine(int(lifetime * second) + wait), ["at_us", "_what", "_id"], ["seen_id"], chunks,
+    )
+    answers = sighted.where("_what = 2 AND seen_id IS NOT NULL").select(
+        F.col("_of").alias("_key"), F.col("at_us").alias("_at"), F.col("seen_id").alias("intel_seen_id"))
+    kept = updates.select(F.col(id_col).cast("long").alias("_update"), F.col("state").alias("_state"), *[F.col(c).cast("int").alias(f"_{c}") for c in COUNTED])
+    joined = (
+        looked.join(answers, (F.col("_of") == F.col("_key")) & (F.col("_us") == F.col("_at")), "left")
+        .join(kept, F.col("intel_seen_id") == F.col("_update"), "left")
+    )
+    return joined.select(*own, "intel_seen_id", *[c.alias(n) for n, c in seen_columns(F.col("_state"), F.col("_asked"), "_").items()])
+
+
+def seen_columns(state: Column, asked: Column, prefix: str) -> dict[str, Column]:
+    """The intel columns of a scan from the state and counts (null without any) of the update that it saw."""
+    usable = state.isNotNull() & (state != FAILED)
+    counts = {c: F.when(usable, F.coalesce(F.col(prefix + c), F.lit(0))).otherwise(0) for c in COUNTED}
+    total = sum((counts[c] for c in COUNTED[1:]), counts[COUNTED[0]])
+    score = threat_score(counts["malicious"], counts["suspicious"], total)
+    return {
+        "intel_provider": F.lit(PROVIDER),
+        "intel_status": F.when(~asked, "disabled").when(state.isNull(), "unavailable").otherwise(status_of(state)),
+        **counts,
+        "total_engines": total,
+        "intel_score": score,
+        "intel_reasons": F.when(usable, threat_reasons(counts["malicious"], counts["suspicious"], score, state)).otherwise(F.array().cast("array<string>")),
+    }
+
+
 def disabled_intel(urls: DataFrame) -> DataFrame:
     """The columns of :func:`enrich_threat_intel` for a scan that skips the lookup."""
     return urls.withColumns({

@@ -303,6 +303,15 @@ def policy_backtest(
     )
 
 
+#: What the text of a scan response reads as.
+RESPONSE_SCHEMA = (
+    "success boolean, url string, risk struct<score: double, level: string, confidence: double>, prediction string, trusted_domain boolean, "
+    "reasons array<string>, models struct<url_ml: {m}, hostname_ml: {m}, fusion_score: double, rule_score: double>, "
+    "threat_intelligence struct<provider: string, status: string, malicious: int, suspicious: int, harmless: int, undetected: int, "
+    "total_engines: int, threat_score: double, reasons: array<string>>, scan_duration_ms double, cache struct<hit: boolean, source: string>"
+).format(m="struct<available: boolean, prediction: int, probability: double, score: double>")
+
+
 def serialize_scan(df: DataFrame, prefix: str = "risk") -> DataFrame:
     """The nested scan response as JSON text, next to its URL.
 

@@ -146,12 +146,20 @@ def select_features(spark, folder):
 
 @query
 def enrich_threat_intel(spark, folder):
-    out = intel.enrich_threat_intel(t.probes(spark, folder), i.reports(spark, folder, every_page=True), url_col="page_url")
+    out = i.with_reports(spark, folder, t.probes(spark, folder), "url")
     return out.select(
         "page_id", "variant", "intel_status", "malicious", "suspicious", "harmless", "undetected", "total_engines", "intel_score", texts("intel_reasons")
     )
 
 
+@query
+def reports_seen(spark, folder):
+    """Every third event is a scan of its page; scans by user 7 ask for no report."""
+    scans = t.page_events(spark, folder).where("event_id % 3 = 0").select("event_id", "user_id", "url", F.col("ts").cast("timestamp").alias("ts"))
+    out = intel.reports_seen(scans, t.report_updates(spark, folder), deadline=HOURS, lifetime=LIFETIME, wanted=F.col("user_id") != 7)
+    return out.select("event_id", "intel_seen_id", "intel_status", *intel.COUNTED, "total_engines", "intel_score", texts("intel_reasons"))
+
+
 @query
 def flag_trusted(spark, folder):
     return joins.flag_trusted(i.normal_probes(spark, folder)).select("page_id", "variant", "trusted_domain")
@@ -607,7 +615,7 @@ def explain_risk(spark, folder):
 
 @query
 def threat_reasons(spark, folder):
-    rows = i.reports(spark, folder).withColumn("analysis", F.when(F.length("url") % 3 == 0, "queued").otherwise("completed"))
+    rows = intel.threat_report_from_verdicts(t.verdicts(spark, folder)).withColumn("analysis", F.when(F.length("url") % 3 == 0, "queued").otherwise("completed"))
     reasons = intel.threat_reasons(F.col("malicious"), F.col("suspicious"), F.col("threat_score"), F.col("analysis"))
     return rows.select("url", F.array_join(reasons, " | ").alias("reasons"))
 
@@ -619,7 +627,23 @@ def policy_backtest(spark, folder):
 
 @query
 def serialize_scan(spark, folder):
-    return risk.serialize_scan(i.assessed_probes(spark, folder))
+    """The responses as text, read back; events hit the cache for every third probe."""
+    rows = i.assessed_probes(spark, folder).withColumns({
+        "cache_hit": (F.col("page_id") + F.col("variant")) % 3 == 0, "scan_duration_ms": F.col("page_id") * 0.5,
+    })
+    out = risk.serialize_scan(rows).withColumn("r", F.from_json("response", risk.RESPONSE_SCHEMA))
+    model = lambda m, s: [
+        F.col(f"r.models.{m}.available").alias(f"{s}_available"), F.col(f"r.models.{m}.prediction").alias(f"{s}_prediction"),
+        F.round(f"r.models.{m}.probability", 6).alias(f"{s}_probability"), F.round(f"r.models.{m}.score", 4).alias(f"{s}_score"),
+    ]
+    found = [F.col(f"r.threat_intelligence.{c}").alias(c) for c in ("provider", "status", *intel.COUNTED, "total_engines", "threat_score")]
+    return out.select(
+        "url", "r.success", F.col("r.url").alias("response_url"), F.col("r.risk.score").alias("risk_score"), F.col("r.risk.level").alias("risk_level"),
+        "r.risk.confidence", "r.prediction", "r.trusted_domain", F.array_join("r.reasons", " | ").alias("reasons"), *model("url_ml", "url"),
+        *model("hostname_ml", "host"), "r.models.fusion_score", "r.models.rule_score", *found,
+        F.array_join("r.threat_intelligence.reasons", " | ").alias("threat_reasons"), "r.scan_duration_ms", F.col("r.cache.hit").alias("cache_hit"),
+        F.col("r.cache.source").alias("cache_source"),
+    )
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from baitline.functions.urls import with_url_parts
 from baitline.operators.cleaning import SCHEMES
 from baitline.operators.features import url_features
-from baitline.operators.intel import enrich_threat_intel, threat_report_from_verdicts
+from baitline.operators.intel import enrich_threat_intel, settled_reports, threat_report_from_verdicts
 from baitline.operators.risk import assess
 from baitline.operators.rules import rule_score
 from baitline.sources import tables as t
@@ -35,17 +35,27 @@ def scored_probes(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-def reports(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
-    return threat_report_from_verdicts(t.verdicts(spark, folder, every_page))
+# Probe variants that are looked up by their own URL, which has no report, and one scanned without a lookup.
+OWN_LOOKUP, NO_LOOKUP = [3, 8], 15
 
 
-def scan_inputs(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    return settled_reports(threat_report_from_verdicts(t.verdicts(spark, folder)), t.report_states(spark, folder))
+
+
+def with_reports(spark: SparkSession, folder: str, probes: DataFrame, own: str) -> DataFrame:
+    """Probes with their reports: of their page, of their ``own`` URL, or not looked up."""
+    looked = probes.withColumn("_looked", F.when(F.col("variant").isin(OWN_LOOKUP), F.col(own)).otherwise(F.col("page_url")))
+    return enrich_threat_intel(looked, reports(spark, folder), url_col="_looked", wanted=F.col("variant") != NO_LOOKUP).drop("_looked")
+
+
+def scan_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Everything the fusion step needs, one row per probe."""
-    return enrich_threat_intel(scored_probes(spark, folder), reports(spark, folder, every_page), url_col="page_url")
+    return with_reports(spark, folder, scored_probes(spark, folder), "normalized_url")
 
 
-def assessed_probes(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
-    return assess(scan_inputs(spark, folder, every_page))
+def assessed_probes(spark: SparkSession, folder: str) -> DataFrame:
+    return assess(scan_inputs(spark, folder))
 
 
 def scan_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +69,7 @@ def scan_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_log(spark: SparkSession, folder: str) -> DataFrame:
     """One scan per event that asks for a probe that can be normalised, all probes of a page in turn; every third is a cache hit."""
-    return scan_events(spark, folder).join(assessed_probes(spark, folder, every_page=True), ["page_id", "variant"])
+    return scan_events(spark, folder).join(assessed_probes(spark, folder), ["page_id", "variant"])
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:

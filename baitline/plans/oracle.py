@@ -241,17 +241,20 @@ VERDICTS = """verdicts AS (
   SELECT p.url, CASE WHEN event_type = 'error' AND p.page_id % 4 = 0 THEN 'malicious'
       WHEN event_type = 'click' AND p.page_id % 4 IN (0, 1) AND value > 40 THEN 'suspicious'
       WHEN event_type = 'signup' THEN 'timeout' WHEN event_type = 'view' THEN 'harmless' ELSE 'undetected' END AS verdict
-  FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages) WHERE p.page_id % 4 <> 3)"""
+  FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
+STATES = """states AS (
+  SELECT p.url, CASE arg_max(event_type, event_id) WHEN 'error' THEN 'error' WHEN 'signup' THEN 'queued' ELSE 'completed' END AS state
+  FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages) GROUP BY p.url)"""
 
 
 def reports(timeouts: bool) -> str:
     extra = " + \"timeout\"" if timeouts else ""
-    return VERDICTS + ",\ncounted AS (SELECT url, " + ", ".join(
+    return VERDICTS + ",\n" + STATES + ",\ncounted AS (SELECT url, " + ", ".join(
         f"CAST(count(*) FILTER (verdict = '{v}') AS INTEGER) AS \"{v}\"" for v in intel.VERDICTS
     ) + f""" FROM verdicts GROUP BY url),
 totals AS (SELECT *, malicious + suspicious + harmless + undetected{extra} AS total_engines FROM counted),
 reports AS (SELECT *, CASE WHEN total_engines > 0
-    THEN round(least((malicious + suspicious * 0.5::DOUBLE) * 100.0::DOUBLE / total_engines, 100.0), 2) ELSE 0.0 END AS threat_score FROM totals)"""
+    THEN round(least((malicious + suspicious * 0.5::DOUBLE) * 100.0::DOUBLE / total_engines, 100.0), 2) ELSE 0.0 END AS threat_score FROM totals JOIN states USING (url))"""
 
 
 def report_reasons(status: str = "'completed'", score: str = "threat_score") -> str:
@@ -263,10 +266,13 @@ def report_reasons(status: str = "'completed'", score: str = "threat_score") ->
   ], lambda x: x IS NOT NULL)"""
 
 
-INTEL_COLUMNS = f"""CASE WHEN r.url IS NULL THEN 'unavailable' ELSE 'success' END AS intel_status,
-    coalesce(malicious, 0) AS malicious, coalesce(suspicious, 0) AS suspicious, coalesce(harmless, 0) AS harmless,
-    coalesce(undetected, 0) AS undetected, coalesce(total_engines, 0) AS total_engines, coalesce(threat_score, 0.0) AS intel_score,
-    CASE WHEN r.url IS NULL THEN [] ELSE {report_reasons()} END AS intel_reasons"""
+# probes looked up by their own URL (which has no report) and without a lookup; failed reports are empty
+NO_REPORT = "(variant IN (3, 8, 15) OR r.url IS NULL OR state = 'error')"
+INTEL_COLUMNS = f"""CASE WHEN variant = 15 THEN 'disabled' WHEN variant IN (3, 8) OR r.url IS NULL THEN 'unavailable'
+      WHEN state = 'completed' THEN 'success' ELSE state END AS intel_status, """ + ", ".join(
+    f"CASE WHEN {NO_REPORT} THEN 0 ELSE {c} END AS {c}" for c in ("malicious", "suspicious", "harmless", "undetected", "total_engines")
+) + f""", CASE WHEN {NO_REPORT} THEN 0.0 ELSE threat_score END AS intel_score,
+    CASE WHEN {NO_REPORT} THEN [] ELSE {report_reasons("state")} END AS intel_reasons"""
 
 # --- fusion -----------------------------------------------------------------------------------
 
@@ -338,6 +344,7 @@ ASSESSED = FUSED + ",\n" + CONF_CTE
 EXPLAIN_CTE = f"""messages AS (SELECT *, list_concat(list_concat(rule_reasons,
     CASE WHEN intel_status = 'success' AND (malicious > 0 OR suspicious > 0) THEN intel_reasons ELSE [] END), list_filter([
     CASE WHEN intel_status = 'success' AND malicious = 0 AND suspicious = 0 AND total_engines > 0 THEN '{risk.MSG_INTEL_CLEAN}'
+         WHEN intel_status = 'error' THEN '{risk.MSG_INTEL_ERROR}' WHEN intel_status = 'disabled' THEN '{risk.MSG_INTEL_DISABLED}'
          WHEN intel_status = 'unavailable' THEN '{risk.MSG_INTEL_UNAVAILABLE}' END,
     CASE WHEN risk_level <> 'SAFE' AND p_url >= 0.8 THEN '{risk.MSG_URL_MODEL}' END,
     CASE WHEN risk_level <> 'SAFE' AND p_host >= 0.8 THEN '{risk.MSG_HOST_MODEL}' END,
@@ -511,8 +518,26 @@ S["select_features"] = with_(PROBE_NORM, WITH_RD) + "SELECT " + ", ".join(
 
 S["enrich_threat_intel"] = with_(PROBES, reports(False)) + (
     "SELECT page_id, variant::INTEGER AS variant, intel_status, malicious, suspicious, harmless, undetected, total_engines, intel_score, array_to_string(intel_reasons, ' | ') AS intel_reasons "
-    f"FROM (SELECT p.page_id, p.variant, {INTEL_COLUMNS} FROM probes p LEFT JOIN reports r ON r.url = p.page_url WHERE variant < 2)"
-)
+    f"FROM (SELECT p.page_id, p.variant, {INTEL_COLUMNS} FROM probes p LEFT JOIN reports r ON r.url = p.page_url)"
+)
+UPDATES = """updates AS (
+  SELECT event_id AS update_id, p.url, epoch_us(ts) AS at_us, CASE event_type WHEN 'click' THEN 'in-progress' WHEN 'error' THEN 'error'
+    WHEN 'signup' THEN 'queued' ELSE 'completed' END AS state, CAST(floor(value * 10) AS INTEGER) AS tenths
+  FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages) WHERE event_id % 3 <> 0)"""
+S["reports_seen"] = with_(
+    UPDATES,
+    """asked AS (SELECT event_id, user_id, p.url, epoch_us(ts) AS ts_us FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
+  WHERE event_id % 3 = 0)""",
+    """ranked AS (SELECT a.*, u.*, row_number() OVER (PARTITION BY event_id ORDER BY state = 'completed' DESC, at_us DESC, update_id DESC) AS k
+  FROM asked a LEFT JOIN updates u ON lower(trim(u.url)) = lower(trim(a.url)) AND user_id <> 7 AND at_us > ts_us - 345600000000 AND at_us <= ts_us + 21600000000)""",
+    """counts AS (SELECT event_id, user_id, update_id, state, (CASE WHEN state IS NULL OR state = 'error' THEN 0 ELSE 1 END) AS live,
+    live * coalesce(tenths % 4, 0) AS malicious, live * coalesce(tenths % 3, 0) AS suspicious, live * coalesce(tenths % 7, 0) AS harmless,
+    live * coalesce(tenths % 5, 0) AS undetected FROM ranked WHERE k = 1)""",
+    """scored AS (SELECT *, malicious + suspicious + harmless + undetected AS total_engines, CASE WHEN malicious + suspicious + harmless + undetected > 0
+    THEN round(least((malicious + suspicious * 0.5::DOUBLE) * 100.0::DOUBLE / (malicious + suspicious + harmless + undetected), 100.0), 2) ELSE 0.0 END AS score FROM counts)""",
+) + f"""SELECT event_id, update_id AS intel_seen_id, CASE WHEN user_id = 7 THEN 'disabled' WHEN state IS NULL THEN 'unavailable'
+  WHEN state = 'completed' THEN 'success' ELSE state END AS intel_status, malicious, suspicious, harmless, undetected, total_engines,
+  score AS intel_score, array_to_string(CASE WHEN live = 0 THEN [] ELSE {report_reasons('state', 'score')} END, ' | ') AS intel_reasons FROM scored"""
 S["flag_trusted"] = with_(PROBE_NORM) + "SELECT page_id, variant::INTEGER AS variant, (" + " OR ".join(
     f"host = '{d}' OR host LIKE '%.{d}'" for d in fv.TRUSTED_DOMAINS) + ") AS trusted_domain FROM norm"
 S["flag_trusted_by_table"] = with_(PROBE_NORM) + (
@@ -727,6 +752,13 @@ S["threat_reasons"] = with_(reports(False), "r AS (SELECT *, CASE WHEN length(ur
 S["policy_backtest"] = with_(SCAN_CTE, fused(risk.CURRENT, "as_wired", name="after_"), fused(risk.EARLIER, "as_wired", name="before_")) + (
     "SELECT b.risk_level AS before_level, a.risk_level AS after_level, count(*) AS n_urls, round(avg(a.risk_raw - b.risk_raw), 6) AS mean_shift FROM after_ a JOIN before_ b USING (page_id, variant) GROUP BY 1, 2"
 )
+_MODEL = """p_{0} IS NOT NULL AS {1}_available, CAST(p_{0} > 0.5 AS INTEGER) AS {1}_prediction, round(p_{0}, 6) AS {1}_probability, round(p_{0} * 100.0, 4) AS {1}_score"""
+S["serialize_scan"] = with_(ASSESSED, EXPLAIN_CTE) + f"""SELECT nu AS url, TRUE AS success, nu AS response_url, round(risk_raw, 2) AS risk_score, risk_level,
+  round(confidence_raw, 2) AS confidence, risk_level AS prediction, trusted_domain, array_to_string({first_only('msgs')}, ' | ') AS reasons,
+  {_MODEL.format('url', 'url')}, {_MODEL.format('host', 'host')}, round(model_score, 2) AS fusion_score, rule_score::DOUBLE AS rule_score,
+  '{intel.PROVIDER}' AS provider, intel_status AS status, malicious, suspicious, harmless, undetected, total_engines, intel_score AS threat_score,
+  array_to_string(intel_reasons, ' | ') AS threat_reasons, CASE WHEN (page_id + variant) % 3 = 0 THEN 0.0 ELSE page_id * 0.5::DOUBLE END AS scan_duration_ms,
+  (page_id + variant) % 3 = 0 AS cache_hit, CASE WHEN (page_id + variant) % 3 = 0 THEN 'cache' ELSE 'risk_engine' END AS cache_source FROM messages"""
 S["risk_by_domain"] = with_(FUSED) + "SELECT rd AS registered_domain, risk_level, count(*) AS n_urls, round(avg(risk_raw), 6) AS mean_risk FROM fused GROUP BY 1, 2"
 
 # --- models: what must hold whatever the fit; rows, ids and counts come from the tables --------------------------------
@@ -759,7 +791,6 @@ def whole_tables(name: str, *cuts: tuple[str, str]) -> str:
     return sql
 
 
-_EVERY_PAGE = (" WHERE p.page_id % 4 <> 3", "")
 _IN_TURN = (
     "JOIN (SELECT * FROM conf WHERE variant = 0) c ON c.page_id = e.event_id % (SELECT count(*) FROM pages)",
     "JOIN conf c ON c.page_id = e.event_id % (SELECT count(*) FROM pages) AND c.variant = (e.event_id // (SELECT count(*) FROM pages)) % 16",
@@ -769,6 +800,5 @@ S["dedup_urls"] = whole_tables(
     "dedup_urls", (" WHERE variant IN (0, 4, 6, 14)", ""), ("SELECT *, url AS k FROM rows_) WHERE k <> ''", "SELECT *, url AS k FROM rows_) WHERE TRUE"),
     ("ELSE 'http://' || trim(url) END", "WHEN trim(url) <> '' THEN 'http://' || trim(url) END"),
 )
-S["enrich_threat_intel"] = whole_tables("enrich_threat_intel", (" WHERE variant < 2", ""), _EVERY_PAGE)
 for _name in ("scan_stats", "recent_scans", "history_rows"):
-    S[_name] = whole_tables(_name, _IN_TURN, _EVERY_PAGE)
+    S[_name] = whole_tables(_name, _IN_TURN)

@@ -94,13 +94,15 @@ def scan_requests(spark: SparkSession, folder: str) -> DataFrame:
     return events.join(urls(spark, folder), "page_id")
 
 
-def verdicts(spark: SparkSession, folder: str, every_page: bool = False) -> DataFrame:
-    """url, engine, verdict: events read as engine verdicts on pages.
-
-    Pages differ in how harsh their engines are. A quarter of them has none, unless
-    ``every_page`` leaves that to the events.
-    """
+def page_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with ``page_id`` and the page's ``url``: every event is about one page."""
     n = page_count(spark, folder)
+    events = read(spark, folder, "events").withColumn("page_id", F.col("event_id") % n)
+    return events.join(urls(spark, folder), "page_id")
+
+
+def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """url, engine, verdict: events read as engine verdicts on pages, which differ in how harsh their engines are."""
     kind = F.col("page_id") % 4
     mapped = (
         F.when((F.col("event_type") == "error") & (kind == 0), "malicious")
@@ -109,10 +111,28 @@ def verdicts(spark: SparkSession, folder: str, every_page: bool = False) -> Data
         .when(F.col("event_type") == "view", "harmless")
         .otherwise("undetected")
     )
-    events = read(spark, folder, "events").select(
-        "event_type", "value", (F.col("event_id") % n).alias("page_id"), F.col("user_id").alias("engine")
+    return page_events(spark, folder).select("url", F.col("user_id").alias("engine"), mapped.alias("verdict"))
+
+
+def analysis_state(event_type: Column) -> Column:
+    """An event's type read as the state of a report's analysis."""
+    return F.when(event_type == "error", "error").when(event_type == "signup", "queued").otherwise("completed")
+
+
+def report_states(spark: SparkSession, folder: str) -> DataFrame:
+    """url, state: how the analysis of a page stands after its last event."""
+    last = F.max_by("event_type", "event_id")
+    return page_events(spark, folder).groupBy("url").agg(analysis_state(last).alias("state"))
+
+
+def report_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """update_id, url, at, state and verdict counts: two of three events read as news of a page's analysis."""
+    tenths = F.floor(F.col("value") * 10).cast("int")
+    return page_events(spark, folder).where("event_id % 3 <> 0").select(
+        F.col("event_id").alias("update_id"), "url", F.col("ts").cast("timestamp").alias("at"),
+        F.when(F.col("event_type") == "click", "in-progress").otherwise(analysis_state(F.col("event_type"))).alias("state"),
+        (tenths % 4).alias("malicious"), (tenths % 3).alias("suspicious"), (tenths % 7).alias("harmless"), (tenths % 5).alias("undetected"),
     )
-    return (events if every_page else events.where(kind != 3)).join(urls(spark, folder), "page_id").select("url", "engine", mapped.alias("verdict"))
 
 
 def pseudo_probability(url: Column, model: str) -> Column:
