@@ -181,6 +181,7 @@ def _sight_machine(width: int) -> Machine:
 def reports_seen(
     scans: DataFrame, updates: DataFrame, url_col: str = "url", ts: str = "ts", at: str = "at", id_col: str = "update_id",
     deadline: float = DEADLINE_SECONDS, lifetime: float = RESULT_TTL_SECONDS, wanted: Column | None = None, chunks: int | None = None,
+    update_url_col: str = "url",
 ) -> DataFrame:
     """Scans with the report that each saw at its own time, as the columns of :func:`enrich_threat_intel` and ``intel_seen_id``.
 
@@ -205,7 +206,7 @@ def reports_seen(
         "_of", F.col("_us").alias("at_us"), F.lit(2).alias("_what"), F.lit(0).cast("long").alias("_id")
     ).distinct()
     given = updates.select(
-        intel_key(F.col(url_col)).alias("_of"), micros(at).alias("at_us"),
+        intel_key(F.col(update_url_col)).alias("_of"), micros(at).alias("at_us"),
         F.coalesce((F.col("state") == COMPLETED).cast("int"), F.lit(0)).alias("_what"), F.col(id_col).cast("long").alias("_id"),
     ).where("_of IS NOT NULL AND at_us IS NOT NULL AND _id IS NOT NULL")
     rows = polls.unionByName(given).withColumn("_late", (F.col("_what") == 2).cast("int"))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from baitline.functions.urls import PART_COLUMNS
 from baitline.operators.cleaning import accepted, quarantine, validate_urls
+from baitline.operators.features import url_features
 from baitline.operators.intel import disabled_intel, enrich_threat_intel
 from baitline.operators.risk import CURRENT, Policy, assess
 from baitline.operators.rules import rule_score
 
 # Takes validated rows, returns them with ``p_url`` and ``p_host`` (either may be null).
 Scorer = Callable[[DataFrame], DataFrame]
+# Takes scored rows, returns them with the intel columns.
+Lookup = Callable[[DataFrame], DataFrame]
 
 
 def no_models(df: DataFrame) -> DataFrame:
@@ -22,18 +26,37 @@ def no_models(df: DataFrame) -> DataFrame:
     return df.withColumns({"p_url": nothing, "p_host": nothing})
 
 
+def logistic_scorer(url_weights: dict[str, float], host_weights: dict[str, float], url_bias: float = 0.0, host_bias: float = 0.0) -> Scorer:
+    """Scorer from the coefficients of two logistic models over the URL features: one projection, no model object."""
+    def chance(weights: dict[str, float], bias: float) -> Column:
+        total = sum((F.col(f"used.{name}") * float(w) for name, w in weights.items()), F.lit(float(bias)))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+    def score(df: DataFrame) -> DataFrame:
+        names = sorted({*url_weights, *host_weights})
+        rows = df.select(*PART_COLUMNS, F.struct(*df.columns).alias("kept"))
+        featured = url_features(rows).select("kept", F.struct(*names).alias("used"))
+        return featured.select("kept.*", chance(url_weights, url_bias).alias("p_url"), chance(host_weights, host_bias).alias("p_host"))
+
+    return score
+
+
 def scan(
     df: DataFrame, scorer: Scorer = no_models, reports: DataFrame | None = None,
-    policy: Policy = CURRENT, signal_contract: str = "as_wired",
+    policy: Policy = CURRENT, signal_contract: str = "as_wired", lookup: Lookup | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Assess the valid rows of ``df`` (column ``url``); return them and the quarantine.
 
     One lineage without a shuffle up to the report join. Every step except the models
-    is a projection.
+    is a projection. ``lookup`` takes the place of the join with ``reports``: it may see
+    each scan's report as of its time, or leave rows as they are that carry the intel columns already.
     """
     checked = validate_urls(df)
     rows = scorer(rule_score(accepted(checked)))
-    rows = disabled_intel(rows) if reports is None else enrich_threat_intel(rows, reports, url_col="normalized_url")
+    if lookup is not None:
+        rows = lookup(rows)
+    else:
+        rows = disabled_intel(rows) if reports is None else enrich_threat_intel(rows, reports, url_col="normalized_url")
     return assess(rows, policy, signal_contract), quarantine(checked)
 
 

@@ -12,7 +12,8 @@ from baitline.functions import urls as ur
 from baitline.functions.fixed_values import BRAND_DOMAINS, FEATURE_NAMES, FEATURE_WORDS, RULE_WORDS
 from baitline.functions.hashing import seeded_md5
 from baitline.operators import (
-    audit, augment, cleaning, dedup, features, history, intel, joins, metrics, models, names, risk, rules, splits, windows,
+    audit, augment, cleaning, dedup, features, history, intel, joins, metrics, models, names, risk, rules, scanning, splits,
+    windows,
 )
 from baitline.plans import inputs as i
 from baitline.sources import tables as t
@@ -646,6 +647,19 @@ def serialize_scan(spark, folder):
     )
 
 
+@query
+def scan_with_reports(spark, folder):
+    """The whole scan: validation, rules, two models and each scan's report as of its time, scored, graded and explained."""
+    lookup = lambda rows: intel.reports_seen(
+        rows, t.report_updates(spark, folder), url_col="page_url", deadline=HOURS, lifetime=LIFETIME, wanted=F.col("user_id") != 7)
+    scorer = scanning.logistic_scorer(i.URL_WEIGHTS, i.HOST_WEIGHTS, i.URL_BIAS, i.HOST_BIAS)
+    good, _ = scanning.scan(i.scan_asks(spark, folder), scorer, lookup=lookup)
+    return good.select(
+        "event_id", "intel_seen_id", "intel_status", i.r6("p_url"), i.r6("p_host"), "rule_score", i.r6("model_score"), i.r6("risk_raw"),
+        "risk_level", i.r6("confidence_raw"), texts("reasons"),
+    )
+
+
 @query
 def risk_by_domain(spark, folder):
     """Flagship: verdicts per registered domain."""

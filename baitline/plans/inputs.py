@@ -58,6 +58,22 @@ def assessed_probes(spark: SparkSession, folder: str) -> DataFrame:
     return assess(scan_inputs(spark, folder))
 
 
+# Coefficients of the two logistic models that the whole scan runs with.
+URL_WEIGHTS = {"url_length": 0.01, "dot_count": 0.3, "digit_ratio": 4.0, "suspicious_word_count": 0.9, "has_suspicious_tld": 1.5, "has_https": -0.4}
+HOST_WEIGHTS = {"hostname_length": 0.02, "hostname_entropy": 0.5, "subdomain_count": 0.2, "is_ip_address": 2.0}
+URL_BIAS, HOST_BIAS = -2.5, -2.0
+
+
+def scan_asks(spark: SparkSession, folder: str) -> DataFrame:
+    """event_id, user_id, ts, page_url, url: every third event asks for a probe of its page, each in turn."""
+    n = t.page_count(spark, folder)
+    asks = t.page_events(spark, folder).where("event_id % 3 = 0").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "page_id",
+        (F.floor(F.col("event_id") / n) % t.N_PROBES).cast("int").alias("variant"),
+    )
+    return asks.join(t.probes(spark, folder), ["page_id", "variant"])
+
+
 def scan_events(spark: SparkSession, folder: str) -> DataFrame:
     n = t.page_count(spark, folder)
     return t.read(spark, folder, "events").select(

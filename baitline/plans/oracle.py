@@ -524,20 +524,19 @@ UPDATES = """updates AS (
   SELECT event_id AS update_id, p.url, epoch_us(ts) AS at_us, CASE event_type WHEN 'click' THEN 'in-progress' WHEN 'error' THEN 'error'
     WHEN 'signup' THEN 'queued' ELSE 'completed' END AS state, CAST(floor(value * 10) AS INTEGER) AS tenths
   FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages) WHERE event_id % 3 <> 0)"""
-S["reports_seen"] = with_(
-    UPDATES,
-    """asked AS (SELECT event_id, user_id, p.url, epoch_us(ts) AS ts_us FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
-  WHERE event_id % 3 = 0)""",
-    """ranked AS (SELECT a.*, u.*, row_number() OVER (PARTITION BY event_id ORDER BY state = 'completed' DESC, at_us DESC, update_id DESC) AS k
-  FROM asked a LEFT JOIN updates u ON lower(trim(u.url)) = lower(trim(a.url)) AND user_id <> 7 AND at_us > ts_us - 345600000000 AND at_us <= ts_us + 21600000000)""",
-    """counts AS (SELECT event_id, user_id, update_id, state, (CASE WHEN state IS NULL OR state = 'error' THEN 0 ELSE 1 END) AS live,
+SEEN = """asked AS (SELECT event_id, user_id, p.page_id, p.url, epoch_us(ts) AS ts_us FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
+  WHERE event_id % 3 = 0),
+ranked AS (SELECT a.*, u.*, row_number() OVER (PARTITION BY event_id ORDER BY state = 'completed' DESC, at_us DESC, update_id DESC) AS k
+  FROM asked a LEFT JOIN updates u ON lower(trim(u.url)) = lower(trim(a.url)) AND user_id <> 7 AND at_us > ts_us - 345600000000 AND at_us <= ts_us + 21600000000),
+counts AS (SELECT event_id, page_id, user_id, update_id, state, (CASE WHEN state IS NULL OR state = 'error' THEN 0 ELSE 1 END) AS live,
     live * coalesce(tenths % 4, 0) AS malicious, live * coalesce(tenths % 3, 0) AS suspicious, live * coalesce(tenths % 7, 0) AS harmless,
-    live * coalesce(tenths % 5, 0) AS undetected FROM ranked WHERE k = 1)""",
-    """scored AS (SELECT *, malicious + suspicious + harmless + undetected AS total_engines, CASE WHEN malicious + suspicious + harmless + undetected > 0
-    THEN round(least((malicious + suspicious * 0.5::DOUBLE) * 100.0::DOUBLE / (malicious + suspicious + harmless + undetected), 100.0), 2) ELSE 0.0 END AS score FROM counts)""",
-) + f"""SELECT event_id, update_id AS intel_seen_id, CASE WHEN user_id = 7 THEN 'disabled' WHEN state IS NULL THEN 'unavailable'
+    live * coalesce(tenths % 5, 0) AS undetected FROM ranked WHERE k = 1),
+totalled AS (SELECT *, malicious + suspicious + harmless + undetected AS total_engines, CASE WHEN malicious + suspicious + harmless + undetected > 0
+    THEN round(least((malicious + suspicious * 0.5::DOUBLE) * 100.0::DOUBLE / (malicious + suspicious + harmless + undetected), 100.0), 2) ELSE 0.0 END AS intel_score FROM counts),
+seen AS (SELECT event_id, page_id, update_id AS intel_seen_id, CASE WHEN user_id = 7 THEN 'disabled' WHEN state IS NULL THEN 'unavailable'
   WHEN state = 'completed' THEN 'success' ELSE state END AS intel_status, malicious, suspicious, harmless, undetected, total_engines,
-  score AS intel_score, array_to_string(CASE WHEN live = 0 THEN [] ELSE {report_reasons('state', 'score')} END, ' | ') AS intel_reasons FROM scored"""
+  intel_score, CASE WHEN live = 0 THEN [] ELSE """ + report_reasons("state", "intel_score") + """ END AS intel_reasons FROM totalled)"""
+S["reports_seen"] = with_(UPDATES, SEEN) + "SELECT * EXCLUDE (page_id) REPLACE (array_to_string(intel_reasons, ' | ') AS intel_reasons) FROM seen"
 S["flag_trusted"] = with_(PROBE_NORM) + "SELECT page_id, variant::INTEGER AS variant, (" + " OR ".join(
     f"host = '{d}' OR host LIKE '%.{d}'" for d in fv.TRUSTED_DOMAINS) + ") AS trusted_domain FROM norm"
 S["flag_trusted_by_table"] = with_(PROBE_NORM) + (
@@ -759,6 +758,23 @@ S["serialize_scan"] = with_(ASSESSED, EXPLAIN_CTE) + f"""SELECT nu AS url, TRUE
   '{intel.PROVIDER}' AS provider, intel_status AS status, malicious, suspicious, harmless, undetected, total_engines, intel_score AS threat_score,
   array_to_string(intel_reasons, ' | ') AS threat_reasons, CASE WHEN (page_id + variant) % 3 = 0 THEN 0.0 ELSE page_id * 0.5::DOUBLE END AS scan_duration_ms,
   (page_id + variant) % 3 = 0 AS cache_hit, CASE WHEN (page_id + variant) % 3 = 0 THEN 'cache' ELSE 'risk_engine' END AS cache_source FROM messages"""
+_SCANNED = (VALIDATED + ",\nprobes2 AS (SELECT page_id, variant, NULL AS page_url, url FROM coded WHERE error_code IS NULL),\n" + norm("probes2"), SCORED_CTE)
+_URL_SUM = "-2.5 + url_length * 0.01 + dot_count * 0.3 + digit_ratio * 4.0 + suspicious_words_f * 0.9 + has_suspicious_tld * 1.5 - has_https * 0.4"
+_HOST_SUM = "-2.0 + hostname_length * 0.02 + hostname_entropy * 0.5 + subdomains_f * 0.2 + is_ip_f * 2.0"
+_SCAN_FEATURES = "scan_features AS (SELECT page_id, variant, " + ", ".join(
+    f"({FEATURE_SQL[f]})::DOUBLE AS {n}" for f, n in (
+        ("url_length", "url_length"), ("dot_count", "dot_count"), ("digit_ratio", "digit_ratio"), ("suspicious_word_count", "suspicious_words_f"),
+        ("has_suspicious_tld", "has_suspicious_tld"), ("has_https", "has_https"), ("hostname_length", "hostname_length"),
+        ("hostname_entropy", "hostname_entropy"), ("subdomain_count", "subdomains_f"), ("is_ip_address", "is_ip_f"))) + " FROM rd_norm)"
+S["scan_with_reports"] = with_(
+    *_SCANNED, _SCAN_FEATURES, UPDATES, SEEN,
+    f"chances AS (SELECT page_id, variant, 1 / (1 + exp(-({_URL_SUM})::DOUBLE)) AS p_url, 1 / (1 + exp(-({_HOST_SUM})::DOUBLE)) AS p_host FROM scan_features)",
+    """scan AS (SELECT s.* EXCLUDE (page_id), r.* EXCLUDE (variant), c.p_url, c.p_host FROM seen s
+  JOIN ruled r ON r.page_id = s.page_id AND r.variant = (s.event_id // (SELECT count(*) FROM pages)) % 16
+  JOIN chances c ON c.page_id = r.page_id AND c.variant = r.variant)""",
+    fused(risk.CURRENT, "as_wired"), CONF_CTE, EXPLAIN_CTE,
+) + f"""SELECT event_id, intel_seen_id, intel_status, round(p_url, 6) AS p_url, round(p_host, 6) AS p_host, rule_score, round(model_score, 6) AS model_score,
+  round(risk_raw, 6) AS risk_raw, risk_level, round(confidence_raw, 6) AS confidence_raw, array_to_string({first_only('msgs')}, ' | ') AS reasons FROM messages"""
 S["risk_by_domain"] = with_(FUSED) + "SELECT rd AS registered_domain, risk_level, count(*) AS n_urls, round(avg(risk_raw), 6) AS mean_risk FROM fused GROUP BY 1, 2"
 
 # --- models: what must hold whatever the fit; rows, ids and counts come from the tables --------------------------------

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from baitline.operators import intel
+from baitline.operators import intel, scanning
 from baitline.operators.risk import MSG_INTEL_DISABLED, MSG_INTEL_ERROR
 from baitline.plans import inputs as i
+from baitline.streaming import jobs
 
 UPDATE = "update_id long, url string, at timestamp, state string, malicious int, suspicious int, harmless int, undetected int"
 BASE = dt.datetime(2024, 1, 1)
@@ -87,3 +88,45 @@ def test_every_state_and_message_occurs(spark, folder):
     assert {r["intel_status"] for r in rows} == {"success", "error", "queued", "unavailable", "disabled"}
     for status, message in (("error", MSG_INTEL_ERROR), ("disabled", MSG_INTEL_DISABLED)):
         assert all((message in r["reasons"]) == (r["intel_status"] == status) for r in rows)
+
+
+def written(spark, rows, schema, order, path, parts, end):
+    """A stream of files of rows in ``order``, one a batch; ``end`` is a last row that moves the watermark."""
+    rows = sorted(rows, key=order)
+    size = -(-len(rows) // parts)
+    for part in [*(rows[n * size:(n + 1) * size] for n in range(parts)), [end]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_equals_batch_and_scores(spark, news, tmp_path):
+    """Scans and updates arrive out of order within the watermark; what each saw, and its verdict, is what batch says."""
+    updates, scans = news
+    scan_schema = "event_id long, url string, ts timestamp, wanted boolean"
+    given = [(u[0], u[1], at(u[2]), *u[3:]) for u in updates if None not in u[:3]]
+    asked = [(n, u, at(s), w) for n, u, s, w in scans if s is not None]
+    shuffled = lambda row: (row[0] * 7919) % 1009
+    end = at(900_000)
+    scan_stream = written(spark, asked, scan_schema, shuffled, str(tmp_path / "scans"), 3, (-1, "http://end.example", end, True))
+    update_stream = written(spark, given, UPDATE, shuffled, str(tmp_path / "updates"), 2, (999_999, "http://end.example", end, "error", 0, 0, 0, 0))
+    settings = {"deadline": 30, "lifetime": 100, "wanted": F.col("wanted")}
+    seen = jobs.reports_seen_stream(scan_stream, update_stream, watermark="2 hours", **settings)
+    query = seen.writeStream.format("memory").queryName("seen").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    batch = intel.reports_seen(spark.createDataFrame(asked, scan_schema), spark.createDataFrame(given, UPDATE), **settings)
+    rows = lambda df: sorted(map(str, df.select(*sorted(batch.columns)).collect()))
+    assert rows(spark.table("seen").where("event_id >= 0")) == rows(batch)
+
+    scorer = scanning.logistic_scorer(i.URL_WEIGHTS, i.HOST_WEIGHTS, i.URL_BIAS, i.HOST_BIAS)
+    whole, _ = scanning.scan(batch, scorer, lookup=lambda df: df)
+    spark.table("seen").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    source = spark.readStream.schema(spark.table("seen").schema).parquet(str(tmp_path / "rows"))
+    out = [str(tmp_path / p) for p in ("history", "quarantine", "checkpoint")]
+    writer = jobs.score_stream(source.where("event_id >= 0"), *out, scorer=scorer, lookup=lambda df: df)
+    query = writer.start()
+    query.processAllAvailable()
+    query.stop()
+    made = spark.read.parquet(out[0])
+    assert made.count() == whole.count() and set(made.select("risk_level").distinct().collect()) == set(whole.select("risk_level").distinct().collect())
+    assert spark.read.parquet(out[1]).count() == sum(u is None for _, u, s, _ in scans if s is not None)
