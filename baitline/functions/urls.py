@@ -39,15 +39,17 @@ def _rest(text: Column, taken: Column) -> Column:
     return F.substr(text, F.length(taken) + 2)
 
 
-def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
+def with_url_parts(df: DataFrame, url_col: str = "url", lowercase_all: bool = False) -> DataFrame:
     """Append the normalised URL and its parts.
 
     Scheme and host are lower-cased and trailing host dots dropped; user info, path,
     query and fragment stay as they are. An input that cannot be normalised (null,
-    empty, bad port, unbalanced brackets) gets null in every part.
+    empty, bad port, unbalanced brackets) gets null in every part. With ``lowercase_all``
+    the whole URL is lower-cased first, as older training tables have it.
     """
     raw = F.col("_raw")
-    steps = df.withColumn("_raw", F.translate(strip(F.col(url_col)), "\t\r\n", "")).withColumn(
+    given = F.lower(url_col) if lowercase_all else F.col(url_col)
+    steps = df.withColumn("_raw", F.translate(strip(given), "\t\r\n", "")).withColumn(
         "_s", F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     )
     steps = steps.withColumn("_scheme", F.regexp_extract("_s", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from baitline.operators.ranking import running_totals
 
-CLASS_NAMES = {0: "Legitimate", 1: "Phishing"}
+# Names of the negative and the positive class.
+CLASS_NAMES = ("Legitimate", "Phishing")
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -75,13 +76,12 @@ def average_precision(df: DataFrame, score: str = "probability", positive_label:
     )
 
 
-def classification_report(df: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
+def classification_report(df: DataFrame, names: tuple[str, str] = CLASS_NAMES, positive_label: int = 1) -> DataFrame:
     """Precision, recall, F1 and support per class, plus accuracy, macro and weighted rows.
 
-    Everything derives from one row of confusion counts.
+    Everything derives from one row of confusion counts. ``names`` are those of the negative and the positive class.
     """
-    names = names or CLASS_NAMES
-    c = confusion_counts(df)
+    c = confusion_counts(df, positive_label=positive_label)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
 
     def one(hit: Column, wrongly: Column, missed: Column, name: str) -> Column:
@@ -114,7 +114,7 @@ def classification_report(df: DataFrame, names: dict[int, str] | None = None) ->
     return classes.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def category_summary(cases: DataFrame) -> DataFrame:
+def category_summary(cases: DataFrame, positive_label: int = 1) -> DataFrame:
     """Correct, total, accuracy, mean probability and predicted classes per category.
 
     The ``ALL`` row comes from the same pass (rollup).
@@ -124,24 +124,24 @@ def category_summary(cases: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.avg(F.col("correct").cast("int")).alias("accuracy"),
         F.avg("probability").alias("mean_probability"),
-        F.count_if(F.col("prediction") == 1).alias("predicted_phishing"),
-        F.count_if(F.col("prediction") == 0).alias("predicted_legitimate"),
+        F.count_if(F.col("prediction") == positive_label).alias("predicted_phishing"),
+        F.count_if(F.col("prediction") != positive_label).alias("predicted_legitimate"),
     ).withColumn("category", F.coalesce("category", F.lit("ALL")))
 
 
-def category_prediction_matrix(cases: DataFrame) -> DataFrame:
+def category_prediction_matrix(cases: DataFrame, positive_label: int = 1) -> DataFrame:
     """Predicted classes per category side by side, highest mean probability first."""
     return cases.groupBy("category").agg(
-        F.count_if(F.col("prediction") == 0).alias("LEGITIMATE"),
-        F.count_if(F.col("prediction") == 1).alias("PHISHING"),
+        F.count_if(F.col("prediction") != positive_label).alias("LEGITIMATE"),
+        F.count_if(F.col("prediction") == positive_label).alias("PHISHING"),
         F.avg("probability").alias("mean_probability"),
     ).orderBy(F.desc("mean_probability"), "category")
 
 
-def failure_analysis(cases: DataFrame) -> DataFrame:
+def failure_analysis(cases: DataFrame, positive_label: int = 1) -> DataFrame:
     """Misjudged cases with readable labels."""
     def named(c: str) -> Column:
-        return F.when(F.col(c) == 1, "PHISHING").otherwise("LEGITIMATE")
+        return F.when(F.col(c) == positive_label, "PHISHING").otherwise("LEGITIMATE")
 
     return (
         cases.where(~F.col("correct"))

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from functools import partial
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +122,7 @@ def train_boosted(df: DataFrame, features: list[str] | None = None, **options) -
 
 
 # Fits that run at a time.
-FITS_AT_ONCE = 6
+FITS_AT_ONCE = 8
 
 Trainer = Callable[[DataFrame, list[str]], PipelineModel]
 TRAINERS: dict[str, Trainer] = {
@@ -132,8 +132,25 @@ TRAINERS: dict[str, Trainer] = {
 }
 
 
-def score_urls(df: DataFrame, model: PipelineModel, features: list[str] | None = None) -> DataFrame:
-    """Append ``available``, ``prediction``, ``probability`` and ``score`` (percent).
+class GivenLogistic(Transformer):
+    """A logistic model of given coefficients, such as one that was fitted elsewhere."""
+
+    def __init__(self, weights: dict[str, float], bias: float = 0.0):
+        super().__init__()
+        self.weights, self.bias = weights, bias
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        margin = sum((F.col(n) * F.lit(float(w)) for n, w in self.weights.items()), F.lit(float(self.bias)))
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        return dataset.withColumns({
+            "probability": array_to_vector(F.array(1.0 - chance, chance)), "prediction": (chance > 0.5).cast("double"),
+        })
+
+
+def score_urls(
+    df: DataFrame, model: PipelineModel | Transformer, features: list[str] | None = None, positive_label: int = 1,
+) -> DataFrame:
+    """Append ``available``, ``prediction``, ``probability`` (of ``positive_label``) and ``score`` (percent).
 
     A row with a missing feature is answered with ``available`` false and nulls; it
     never stops the job.
@@ -145,7 +162,7 @@ def score_urls(df: DataFrame, model: PipelineModel, features: list[str] | None =
         usable = usable & value.isNotNull() & ~F.isnan(value)
     ready = df.withColumn("available", usable)
     filled = ready.withColumns({f"_f{i}": F.col(n) for i, n in enumerate(names)}).na.fill(0, names)
-    out = model.transform(filled).withColumn("_p", vector_to_array("probability")[1])
+    out = model.transform(filled).withColumn("_p", vector_to_array("probability")[positive_label])
     restored = [F.col(f"_f{names.index(c)}").alias(c) if c in names else F.col(c) for c in df.columns]
     shown = lambda e: F.when(F.col("available"), e)
     return out.select(
@@ -156,11 +173,11 @@ def score_urls(df: DataFrame, model: PipelineModel, features: list[str] | None =
     )
 
 
-def evaluate(scored: DataFrame) -> dict[str, float]:
+def evaluate(scored: DataFrame, positive_label: int = 1) -> dict[str, float]:
     """Accuracy, precision, recall, F1, ROC AUC and average precision of a scored table."""
-    base = metrics.binary_metrics(scored).first()
-    auc = metrics.roc_auc(scored).first()["roc_auc"]
-    ap = metrics.average_precision(scored).first()["average_precision"]
+    base = metrics.binary_metrics(scored, positive_label=positive_label).first()
+    auc = metrics.roc_auc(scored, positive_label=positive_label).first()["roc_auc"]
+    ap = metrics.average_precision(scored, positive_label=positive_label).first()["average_precision"]
     return {
         "accuracy": base["accuracy"], "precision": base["precision"], "recall": base["recall"], "f1": base["f1"],
         "roc_auc": auc, "pr_auc": ap,
@@ -222,10 +239,13 @@ def ablation(
     train: DataFrame, validation: DataFrame, trainers: dict[str, Trainer] | None = None,
     sets: dict[str, list[str]] | None = None, features: list[str] | None = None,
 ) -> DataFrame:
-    """Validation metrics for every (feature set, model) pair; the fits run side by side on one kept table."""
+    """Validation metrics for every (feature set, model) pair; the fits run side by side on one kept table.
+
+    Trainers are listed from the cheapest to the dearest; the dearest start first, so that none is left alone at the end.
+    """
     trainers, names = trainers or TRAINERS, features or FEATURE_NAMES
     spark = train.sparkSession
-    grid = [(s, [f for f in names if f not in dropped], m) for s, dropped in (sets or ABLATION_SETS).items() for m in trainers]
+    grid = [(s, [f for f in names if f not in dropped], m) for m in reversed(list(trainers)) for s, dropped in (sets or ABLATION_SETS).items()]
     with held(*(t.select(*names, "label") for t in (train, validation))) as both:
         for table in both:
             table.count()
@@ -243,6 +263,25 @@ def feature_importances(model: PipelineModel, features: list[str] | None = None)
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
+def class_gaps(df: DataFrame, features: list[str] | None = None, positive_label: int = 1) -> DataFrame:
+    """(feature, importance) without a model: how far the class means lie apart, as a share of the feature's range.
+
+    To six decimals; 0.0 for a constant feature or where a class is missing. One aggregation over all features; values
+    are summed to nine decimals, exactly, so that the order of rows does not matter.
+    """
+    names = features or FEATURE_NAMES
+    positive = F.col("label") == positive_label
+
+    def gap(name: str) -> Column:
+        x = F.col(name).cast("decimal(28,9)")
+        mean = lambda member: F.sum(F.when(member, x)).cast("double") / F.nullif(F.count_if(member & x.isNotNull()), F.lit(0))
+        spread = F.max(x).cast("double") - F.min(x).cast("double")
+        return F.round(F.coalesce(F.abs(mean(positive) - mean(~positive)) / F.nullif(spread, F.lit(0.0)), F.lit(0.0)), 6)
+
+    wide = df.agg(*[gap(n).alias(n) for n in names])
+    return wide.unpivot([], names, "feature", "importance")
+
+
 # --- hostname model -------------------------------------------------------------------
 
 def ngrams(host: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:

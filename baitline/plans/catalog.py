@@ -50,6 +50,13 @@ def normalize_urls(spark, folder):
     )
 
 
+@query
+def normalize_urls_lowercased(spark, folder):
+    """Lower-cased as a whole, path and query too."""
+    out = ur.with_url_parts(t.probes(spark, folder), lowercase_all=True).where("normalized_url IS NOT NULL")
+    return out.select("page_id", "variant", "normalized_url", "scheme", "userinfo", "host", "port", "path", "query", "fragment")
+
+
 @query
 def validate_urls(spark, folder):
     checked = cleaning.validate_urls(t.probes(spark, folder))
@@ -343,6 +350,14 @@ def classification_report(spark, folder):
     return out.select("class_name", *[i.r6(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@query
+def classification_report_by_polarity(spark, folder):
+    """The report with either label as the phishing one."""
+    predictions = t.predictions(spark, folder)
+    one = lambda label: metrics.classification_report(predictions, positive_label=label).withColumn("positive_label", F.lit(label))
+    return one(0).unionByName(one(1)).select("positive_label", "class_name", *[i.r6(c) for c in ("precision", "recall", "f1")], "support")
+
+
 def judged(spark, folder):
     """Pages as behaviour cases: category from the URL's section, pseudo predictions."""
     pages = t.predictions(spark, folder)
@@ -777,3 +792,29 @@ def top_feature_importance(spark, folder):
         F.count(F.lit(1)).alias("n_features"), F.countDistinct("feature").alias("n_names"), F.min(F.col("importance") >= 0).alias("none_negative"),
         (F.sum("importance") <= 1.0 + 1e-9).alias("at_most_one"),
     )
+
+
+@query
+def score_urls_given(spark, folder):
+    """All probes scored by a logistic model of given coefficients; every tenth page lacks a feature and is left unanswered."""
+    rows = i.training_rows(spark, folder)
+    broken = rows.withColumn("digit_ratio", F.when(F.col("page_id") % 10 != 0, F.col("digit_ratio")))
+    weights = {**i.URL_WEIGHTS, **i.HOST_WEIGHTS}
+    scored = models.score_urls(broken, models.GivenLogistic(weights, i.URL_BIAS + i.HOST_BIAS))
+    return scored.select("page_id", "variant", "available", "prediction", i.r6("probability"), F.round("score", 4).alias("score"))
+
+
+@query
+def behaviour_test_given(spark, folder):
+    """Probes judged by a logistic model of given coefficients, summed up by variant."""
+    scored = models.score_urls(i.training_rows(spark, folder), models.GivenLogistic({**i.URL_WEIGHTS, **i.HOST_WEIGHTS}, i.URL_BIAS + i.HOST_BIAS))
+    cases = scored.select(F.concat(F.lit("variant "), F.col("variant")).alias("category"), "url", F.col("label").alias("expected"), "prediction", "probability")
+    return metrics.category_summary(models.behaviour_test(cases)).select(
+        "category", "correct", "total", i.r6("accuracy"), i.r6("mean_probability"), "predicted_phishing", "predicted_legitimate"
+    )
+
+
+@query
+def top_class_gaps(spark, folder):
+    """The features whose class means lie farthest apart."""
+    return metrics.top_feature_importance(models.class_gaps(i.training_rows(spark, folder)))

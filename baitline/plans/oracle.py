@@ -480,6 +480,9 @@ S["read_corpus"] = "SELECT page_id, url, toxic AS label FROM pages JOIN labels O
 S["normalize_urls"] = with_(PROBE_NORM) + (
     "SELECT page_id, variant::INTEGER AS variant, nu AS normalized_url, scheme, userinfo, host, port, path, query, fragment FROM norm"
 )
+S["normalize_urls_lowercased"] = with_(PROBES, "lowered AS (SELECT * REPLACE (lower(url) AS url) FROM probes)", norm("lowered")) + (
+    "SELECT page_id, variant::INTEGER AS variant, nu AS normalized_url, scheme, userinfo, host, port, path, query, fragment FROM norm"
+)
 VALIDATED = PROBES + r""",
 checked AS (SELECT page_id, variant, regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t,
     regexp_replace(url, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS url FROM probes),
@@ -628,6 +631,17 @@ S["classification_report"] = with_(PREDICTIONS, CONFUSION, f"""classes AS (
     "UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(s) AS BIGINT) FROM classes "
     "UNION ALL SELECT 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6), round(sum(f * s) / sum(s), 6), CAST(sum(s) AS BIGINT) FROM classes"
 )
+_BY_LABEL = """by_label AS (SELECT c AS label, count(*) FILTER (label = c AND prediction = c) AS hits, count(*) FILTER (prediction = c) AS guessed,
+    count(*) FILTER (label = c) AS support FROM preds CROSS JOIN (VALUES (0), (1)) AS v(c) GROUP BY c),
+rates AS (SELECT label, support, coalesce(hits::DOUBLE / nullif(guessed, 0), 0.0) AS p, coalesce(hits::DOUBLE / nullif(support, 0), 0.0) AS r,
+    coalesce(2.0::DOUBLE * hits / nullif(guessed + support, 0), 0.0) AS f, hits FROM by_label),
+report AS (SELECT label, 'class' AS class_name, p, r, f, support FROM rates
+  UNION ALL SELECT NULL, 'accuracy', sum(hits)::DOUBLE / sum(support), sum(hits)::DOUBLE / sum(support), sum(hits)::DOUBLE / sum(support), sum(support)::BIGINT FROM rates
+  UNION ALL SELECT NULL, 'macro avg', avg(p), avg(r), avg(f), sum(support)::BIGINT FROM rates
+  UNION ALL SELECT NULL, 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), sum(support)::BIGINT FROM rates)"""
+S["classification_report_by_polarity"] = with_(PREDICTIONS, _BY_LABEL) + """SELECT positive_label,
+    CASE WHEN label IS NULL THEN class_name WHEN label = positive_label THEN 'Phishing' ELSE 'Legitimate' END AS class_name,
+    round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support FROM report CROSS JOIN (VALUES (0), (1)) AS v(positive_label)"""
 S["category_summary"] = with_(JUDGED) + (
     "SELECT coalesce(category, 'ALL') AS category, count(*) FILTER (correct) AS correct, count(*) AS total, round(avg(correct::INTEGER), 6) AS accuracy, round(avg(probability), 6) AS mean_probability, "
     "count(*) FILTER (prediction = 1) AS predicted_phishing, count(*) FILTER (prediction = 0) AS predicted_legitimate FROM judged GROUP BY ROLLUP (category)"
@@ -797,6 +811,25 @@ S["behaviour_test"] = with_(PROBE_NORM, _PARTS) + """SELECT 'variant ' || varian
     FROM parts WHERE part = 'test' GROUP BY variant"""
 S["top_feature_importance"] = "SELECT 15 AS n_features, 15 AS n_names, TRUE AS none_negative, TRUE AS at_most_one"
 
+_GIVEN = {
+    "url_length": "0.01", "dot_count": "0.3", "digit_ratio": "4.0", "suspicious_word_count": "0.9", "has_suspicious_tld": "1.5", "has_https": "-0.4",
+    "hostname_length": "0.02", "hostname_entropy": "0.5", "subdomain_count": "0.2", "is_ip_address": "2.0",
+}
+_CHANCES = "given AS (SELECT *, 1 / (1 + exp(-(-4.5::DOUBLE + " + " + ".join(f"({w}::DOUBLE) * {n}::DOUBLE" for n, w in _GIVEN.items()) + (
+    "))) AS chance, (variant IN (1, 2, 3, 5, 7, 8, 14, 15))::INTEGER AS label FROM feats WHERE variant <> 13)"
+)
+S["score_urls_given"] = with_(PROBE_NORM, FEATURES_CTE, _CHANCES) + """SELECT page_id, variant::INTEGER AS variant, page_id % 10 <> 0 AS available,
+    CASE WHEN page_id % 10 <> 0 THEN (chance > 0.5)::INTEGER END AS prediction, CASE WHEN page_id % 10 <> 0 THEN round(chance, 6) END AS probability,
+    CASE WHEN page_id % 10 <> 0 THEN round(chance * 100, 4) END AS score FROM given"""
+S["behaviour_test_given"] = with_(PROBE_NORM, FEATURES_CTE, _CHANCES) + """SELECT coalesce('variant ' || variant, 'ALL') AS category,
+    count(*) FILTER ((chance > 0.5)::INTEGER = label) AS correct, count(*) AS total, round(avg(((chance > 0.5)::INTEGER = label)::INTEGER), 6) AS accuracy,
+    round(avg(chance), 6) AS mean_probability, count(*) FILTER (chance > 0.5) AS predicted_phishing, count(*) FILTER (chance <= 0.5) AS predicted_legitimate
+    FROM given GROUP BY ROLLUP (variant)"""
+S["top_class_gaps"] = with_(PROBE_NORM, FEATURES_CTE, _CHANCES, "gaps AS (" + " UNION ALL ".join(
+    f"SELECT feature, round(coalesce(abs(s1::DOUBLE / n1 - s0::DOUBLE / n0) / nullif(hi::DOUBLE - lo::DOUBLE, 0), 0.0), 6) AS importance FROM ("
+    f"SELECT '{n}' AS feature, sum(x) FILTER (label = 1) AS s1, count(x) FILTER (label = 1) AS n1, sum(x) FILTER (label = 0) AS s0, count(x) FILTER (label = 0) AS n0, "
+    f"max(x) AS hi, min(x) AS lo FROM (SELECT label, {n}::DOUBLE::DECIMAL(28, 9) AS x FROM given))" for n in fv.FEATURE_NAMES) + ")") + "SELECT feature, importance FROM gaps ORDER BY importance DESC, feature LIMIT 15"
+
 
 def whole_tables(name: str, *cuts: tuple[str, str]) -> str:
     """The SQL of a query without the conditions that keep it to some probes and pages."""
