@@ -86,8 +86,13 @@ def combine_model_scores(
 
 
 def score_cases(cases: DataFrame, predictions: DataFrame, key: str = "url") -> DataFrame:
-    """Expected against predicted, one row per case."""
-    joined = cases.join(predictions.select(key, "prediction", "probability"), key, "inner")
+    """Expected against predicted, one row per predicted case.
+
+    ``key`` names a case. Predictions that repeat a key count once, with the highest probability.
+    """
+    guess = F.struct("probability", "prediction")
+    once = predictions.groupBy(key).agg(F.max(guess).alias("_guess")).select(key, "_guess.prediction", "_guess.probability")
+    joined = cases.join(once, key, "inner")
     return joined.withColumn("correct", F.col("prediction") == F.col("expected"))
 
 

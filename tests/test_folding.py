@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from baitline.operators import models
+from baitline.operators import joins, models
 
 NAMES = ["a", "b"]
 
@@ -63,3 +63,10 @@ def test_bins_stay_ordered(rows):
     """A split of a tree is a threshold, not a set of bins."""
     tree = models.train_forest(rows, NAMES, numTrees=2, maxDepth=2).stages[-1].toDebugString
     assert " <= " in tree and " in {" not in tree
+
+
+def test_one_row_per_case(spark):
+    cases = spark.createDataFrame([("u", 1), ("u", 0), ("v", 1), ("w", 1)], "url string, expected int")
+    predictions = spark.createDataFrame([("u", 1, 0.9), ("u", 0, 0.2), ("v", 0, 0.1)], "url string, prediction int, probability double")
+    got = sorted((r["url"], r["expected"], r["prediction"], r["correct"]) for r in joins.score_cases(cases, predictions).collect())
+    assert got == [("u", 0, 1, False), ("u", 1, 1, True), ("v", 1, 0, False)]
