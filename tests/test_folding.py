@@ -70,3 +70,21 @@ def test_one_row_per_case(spark):
     predictions = spark.createDataFrame([("u", 1, 0.9), ("u", 0, 0.2), ("v", 0, 0.1)], "url string, prediction int, probability double")
     got = sorted((r["url"], r["expected"], r["prediction"], r["correct"]) for r in joins.score_cases(cases, predictions).collect())
     assert got == [("u", 0, 1, False), ("u", 1, 1, True), ("v", 1, 0, False)]
+
+
+def test_steps_of_the_hostname_fit_send_no_more_than_the_data_grow(spark, monkeypatch):
+    """What a step sends is bounded by the cells, however many partitions the table has."""
+    for cells, width in ((10**6, 10**5), (10**9, 10**6), (10**11, 10**6)):
+        parts = models.fit_partitions(cells, width)
+        assert parts == models.LEAST_PARTITIONS or parts * width * models.CELLS_PER_COEFFICIENT <= cells or parts <= cells / models.CELLS_PER_PARTITION + 1
+    seen = []
+
+    class Spy(LogisticRegression):
+        def fit(self, table):
+            seen.append(table.rdd.getNumPartitions())
+            return super().fit(table)
+
+    monkeypatch.setattr(models, "LogisticRegression", Spy)
+    urls = spark.range(400).select(F.concat(F.lit("http://h"), F.col("id") % 40, F.lit(".example/")).alias("url"), (F.col("id") % 2).alias("label"))
+    models.train_hostname_model(urls.repartition(32), max_iter=2)
+    assert seen == [models.LEAST_PARTITIONS]
